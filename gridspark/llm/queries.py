@@ -20,7 +20,22 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_minhash_neardup)}
+def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridspark.llm.sharding import sharded
+
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharded(rows, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridspark.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_minhash_neardup, op8_two_pass_shuffle, op9_source_mix)}
 
 ORACLES = {
     "op1_exact_topk": """
