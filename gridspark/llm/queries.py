@@ -33,6 +33,12 @@ def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridspark.llm.repeats import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridspark.llm.sharding import sharded
 
@@ -48,7 +54,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_minhash_neardup, op5_config_lp_packing, op6_bitmask_langid, op8_two_pass_shuffle, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_minhash_neardup, op5_config_lp_packing, op6_bitmask_langid, op7_run_index_dedup, op8_two_pass_shuffle, op9_source_mix)}
 
 ORACLES = {
     "op1_exact_topk": """
