@@ -138,12 +138,14 @@ def identified(docs: DataFrame, filters: Filters, keep: list[str], text_col: str
     """The columns `keep` of docs with lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot, at most 2**(GRAM_BITS + 3) slots for 64 languages
 
+    name = text_col if text_col in keep else "_text"
+
     def work(batches):
         for batch in batches:
-            lang, score = sent.value.decide(batch.column("_text"))
+            lang, score = sent.value.decide(batch.column(name))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    cols = docs.select(*keep, F.col(text_col).alias("_text"))
+    cols = docs.select(*keep) if name == text_col else docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return cols.mapInArrow(work, schema)
 

@@ -15,6 +15,8 @@ null ids and repeated rows are rows of their own; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from pyspark.sql.window import Window
 
 from gridspark.llm.common import WORD_PATTERN, materialize, mix
 
+_WORD = re.compile(WORD_PATTERN)
+
 WEIGHTS, RATIO, MOST, BLOCK_WORDS, SHARDS, CELL_ROWS, SEED = (3, 1, 2), 1.5, 2, 64, 64, 4096, 20240607
 
 
@@ -166,3 +170,37 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     named = placed.withColumn("full", F.col("size") > 0)
     out = named.join(words.withColumn("full", F.lit(True)), ["s", "start", "full"], "left").join(sources.drop("source"), "s")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def remixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: docs' columns, one row for each time (epoch) that the mix takes from a document, with the
+    words taken.  A document taken whole keeps its text as it is; otherwise the runs of words taken stand on lines of their own."""
+    placed, _, takes = mixed(docs, **options)
+    names = docs.columns
+    runs = takes.groupBy("s", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    keyed = placed.where("size > 0").join(runs, ["s", "start"]).select(F.xxhash64("doc_id", "source", "text_hash").alias("rid"), "size", "runs")
+    texts = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "source", F.xxhash64("text"))).dropDuplicates(["rid"])
+    at = names.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = []
+                for text, size, runs in zip(*(part.column(c).to_pylist() for c in ("text", "size", "runs")), strict=True):
+                    merged: list[list[int]] = []
+                    for r in runs:
+                        if merged and merged[-1][1] == r["lo"]:
+                            merged[-1][1] = r["hi"]
+                        else:
+                            merged.append([r["lo"], r["hi"]])
+                    if merged != [[0, size]]:
+                        spans = [m.span() for m in _WORD.finditer(text)]
+                        text = "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
+                    out.append(text)
+                cols = [part.column(c) for c in names]
+                cols[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return texts.join(keyed, "rid").select(*names, "size", "runs").mapInArrow(cut, schema)

@@ -14,6 +14,26 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op2_licence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its digest and licence, if it is one, and how many of its lines are known notices."""
+    from gridspark.llm.licences import notices, scanned
+
+    docs = table(spark, sf_dir, "documents")
+    lines = notices(docs).groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.min("licence_id").alias("notice_id"))
+    return scanned(docs).join(lines, "doc_id", "left").select("doc_id", "digest", "licence_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), "notice_id")
+
+
+def op3_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridspark.llm.gif import media_columns, stored
+
+    media = media_columns(stored(table(spark, sf_dir, "documents")))
+    sums = F.aggregate("histograms", F.array_repeat(F.lit(0), 16), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    return media.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), F.array_join(F.transform(sums, lambda x: x.cast("string")), ":").alias("feature"),
+    )
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridspark.llm.neardup import near_duplicates
 
@@ -54,9 +74,37 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op4_minhash_neardup, op5_config_lp_packing, op6_bitmask_langid, op7_run_index_dedup, op8_two_pass_shuffle, op9_source_mix)}
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridspark.llm.quality import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_licence_digest, op3_gif_columns, op4_minhash_neardup, op5_config_lp_packing, op6_bitmask_langid, op7_run_index_dedup, op8_two_pass_shuffle, op9_source_mix, op10_importance_resampling)}
+
+
+
+def _licence_sql() -> str:
+    from gridspark.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
+
+    def canon(x: str) -> str:
+        out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+        for a, b in SPELLINGS:
+            out = f"replace({out}, '{a}', '{b}')"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+    known = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)
+    return f"""
+with known as (select sha256({canon("t")}) as digest, min(i) as licence_id from (values {known}) k(i, t) group by 1),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as l from documents),
+hits as (select doc_id, count(*) as n_notices, min(licence_id) as notice_id from
+         (select doc_id, sha256({canon("l")}) as digest from lines where regexp_matches(lower(l), 'licen[cs]e')) x join known using (digest) group by 1),
+docs as (select doc_id, sha256({canon("text")}) as digest from documents)
+select doc_id, digest, licence_id, coalesce(n_notices, 0) as n_notices, notice_id from docs left join known using (digest) left join hits using (doc_id)"""
+
 
 ORACLES = {
+    "op2_licence_digest": _licence_sql(),
     "op1_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
