@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from gridspark.llm.common import materialize
 
-CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 300_000
+CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 500_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -44,27 +44,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=2)
+def _plain(path: str):
+    """The same merges for lower-case ASCII words, which need no other step than the split at spaces."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer(_tokenizer(path).model)
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return t
+
+
+@functools.lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """For each id whether it ends a word (its string has the vocabulary's end mark)."""
+    t = _tokenizer(path)
+    out = np.zeros(t.get_vocab_size() + 1, bool)
+    for word, i in t.get_vocab().items():
+        out[i] = word.endswith("</w>")
+    return out
+
+
+_kept: dict[str, dict[bytes, bytes]] = {}
+_PUNCTUATION = b".,;:!?|"
+
+
 class WordIds:
     """Ids of texts under a tokenizer that never joins across white space: words are encoded once and kept.
 
     The vocabulary folds A-Z itself and drops white space, so words split at ASCII white space and with A-Z lowered give
-    the ids of the whole text.  The cache empties itself at `most` words."""
+    the ids of the whole text.  Words of letters only are one pre-token each: many are encoded as one string and told apart
+    by the end-of-word ids; any other word is encoded alone, its last punctuation apart from the letters before it.
+    A worker keeps its words between tasks; it starts anew beyond `most`."""
 
     def __init__(self, path: str, most: int = CACHE):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
+        self.tokenizer, self.plain, self.ends, self.most = _tokenizer(path), _plain(path), _word_ends(path), most
+        self.known = _kept.setdefault(path, {})
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, alone = {}, []
+        ascii_, letters = [w for w in words if w.isalpha()], [w for w in words if not w.isascii() and w.decode("utf-8", "replace").isalpha()]
+        for tokenizer, group in ((self.plain, ascii_), (self.tokenizer, letters)):
+            for lo in range(0, len(group), 2048):
+                part = group[lo : lo + 2048]
+                ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+                stop = 4 * np.flatnonzero(self.ends[ids]) + 4
+                if len(stop) != len(part):  # a word of more than one pre-token after all
+                    alone += part
+                    continue
+                raw, stop = ids.tobytes(), stop.tolist()
+                out.update(zip(part, [raw[x:y] for x, y in zip([0, *stop], stop)], strict=True))
+        taken = {*ascii_, *letters}
+        alone += [w for w in words if w not in taken]
+        for lo in range(0, len(alone), 4096):
+            part = alone[lo : lo + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        new, need, parts = set().union(*split) - known.keys(), set(), []
+        for w in new:
+            core = w.rstrip(_PUNCTUATION)
+            if core is not w and core[-1:].isalpha():
+                tail = w[len(core) :]
+                parts.append((w, core, tail))
+                need.add(core)
+                need.add(tail)
+            else:
+                need.add(w)
+        known.update(self._encode(list(need - known.keys())))
+        known.update([(w, known[core] + known[tail]) for w, core, tail in parts])
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -73,8 +128,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
     def work(batches):
         words = WordIds(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 cols: list[list] = [[] for _ in range(6)]
                 for i, ids in zip(part.column(0).to_pylist(), words.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
