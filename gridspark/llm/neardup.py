@@ -8,12 +8,13 @@
 3. First each class meets one partner only, the head (least id) of the lists that it shares most; the exact check of these
    forms components.  Then lists that still hold several components give the pairs across components; the union-sketch estimate
    (shared values among the k least of both sketches) filters these, and the exact Jaccard of full sets decides.
-   Pairs inside a component are never made, nor all pairs of a list: long lists are compared tile by tile in bounded
-   memory, and only pairs that pass the estimate leave a tile.
+   Pairs inside a component are never made, nor all pairs of a list: short lists are joined, long ones compared tile by
+   tile with the full sets at hand, in bounded memory, and a tile gives out a spanning forest of its links only.
 
 For sets of up to k values candidates are complete.  For larger ones a link of similarity 0.75 exactly shares fewer than m
-retained values with probability below 1e-7, and less the more similar the two are; confirmed links are exact
-(sets are compared as 64-bit fingerprints of shingles).
+retained values with probability below 1e-7, and less the more similar the two are; a member of many long lists is
+compared in its LONG_LISTS rarest, all missed by such a partner with probability of about 0.25 ** LONG_LISTS.  Confirmed
+links are exact (sets are compared as 64-bit fingerprints of shingles).
 
 Defined cases: no words or null text: no shingles, linked with nothing.  Fewer words than a shingle: one shingle of all.
 A null id takes part in nothing: component null, kept true.  Repeated rows are returned as often as they come, with equal results.
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import ascii_lower, discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer, word_bounds
 from gridspark.llm.components import components
 
-SHINGLE_WORDS, SKETCH, LEAST_SHARED, PERCENT = 5, 64, 28, 75
-#: Lists up to this length are paired by a join; longer ones in tiles of TILE members.
-SHORT_LIST, TILE = 16, 512
+SHINGLE_WORDS, SKETCH, LEAST_SHARED, PERCENT = 5, 48, 19, 75
+#: Lists up to this length are paired by a join; longer ones in tiles of TILE members and TILE_VALUES values.
+SHORT_LIST, TILE, TILE_VALUES, LONG_LISTS = 16, 768, 400_000, 16
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -44,7 +45,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct shingle values (as signed 64-bit)."""
     ended = pc.binary_join_element_wise(column.cast(pa.large_binary()).fill_null(b""), pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
     data, offsets = text_buffer(ended)
-    for lo, hi in slices(offsets, 2 << 20):
+    for lo, hi in slices(offsets, 1 << 19):
         part = ascii_lower(data[offsets[lo] : offsets[hi]])
         starts, ends = word_bounds(part)
         words = span_hash(prefix_hash(part), starts, ends)
@@ -75,15 +76,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
     """(doc_id, n, d1, d2, sketch) of every document."""
 
     def work(batches):
-        for batch in batches:
+        for part in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             n, d1, d2, sketch = [], [], [], []
-            for s in shingle_sets(batch.column(1), size):
+            for s in shingle_sets(part.column(1), size):
                 h = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 n.append(len(s))
                 d1.append(h[0])
                 d2.append(h[1])
                 sketch.append(s[:k].copy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(sketch)], ["doc_id", "n", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(sketch)], ["doc_id", "n", "d1", "d2", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
@@ -100,16 +101,11 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, vals array<long>")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
-    sets = materialize(sets, "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("vals").alias("va")), sets.select(F.col("doc_id").alias("b"), F.col("vals").alias("vb"))
     shared = F.size(F.array_intersect("va", "vb"))
-    out = materialize(pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("va") + F.size("vb") - shared)).select("a", "b"), "links")
-    discard(sets)
-    return out
+    return materialize(pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("va") + F.size("vb") - shared)).select("a", "b"), "links")
 
 
 def _needed(n, k: int, m: int, percent: int):
@@ -117,31 +113,53 @@ def _needed(n, k: int, m: int, percent: int):
     return F.when(n * 100 < percent * (k + 1), F.ceil(n * percent / 100)).otherwise(F.lit(m)).cast("int")
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
-    """Shared values among the k least of two sketches' union, and how many those are."""
-    both = np.union1d(a, b)[:k]
-    return int(np.isin(both, a, assume_unique=True).__and__(np.isin(both, b, assume_unique=True)).sum()), len(both)
-
-
-def _tile_pairs(t: pa.Table, k: int, m: int, percent: int) -> tuple[list[int], list[int]]:
-    ids, comp, n, side = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
-    sk = t.column("sketch").combine_chunks()
-    ends = sk.offsets.to_numpy()
-    row = np.repeat(np.arange(len(ids)), np.diff(ends))
-    values, code, count = np.unique(sk.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
-    common = np.flatnonzero(count > 1)
-    place = np.full(len(values), -1)
-    place[common] = np.arange(len(common))
-    has = np.zeros((len(ids), len(common)), np.float32)
-    use = place[code] >= 0
-    has[row[use], place[code[use]]] = 1
+def _overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of intersections of every left with every right set, over the values that two sets hold at least."""
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    _, code, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    n = int((count > 1).sum())
+    for lo in range(0, n, 2048):
+        part = slice(*np.searchsorted(place, [lo, lo + 2048]))
+        has = np.zeros((len(rows), min(2048, n - lo)), np.float32)
+        has[row[part], place[part] - lo] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def tile_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, vals: list[np.ndarray], k: int, m: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links across components in one tile (side 2) or between two (sides 0 and 1)."""
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    shared = has[left] @ has[right].T
+    if not len(left) or not len(right):
+        return []
+    n = np.array([len(v) for v in vals])
     need = np.where(n * 100 < percent * (k + 1), -(-n * percent // 100), m)
-    ok = (shared >= np.maximum(need[left][:, None], need[right][None, :])) & (comp[left][:, None] != comp[right][None, :]) & (ids[left][:, None] < ids[right][None, :] if side.max() == 2 else True)
-    ok &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
-    i, j = np.nonzero(ok)
-    return ids[left[i]].tolist(), ids[right[j]].tolist()
+    near = _overlaps([v[:k] for v in vals], left, right) >= np.maximum(need[left][:, None], need[right][None, :])
+    near &= comp[left][:, None] != comp[right][None, :]
+    if not near.any():
+        return []
+    use_l, use_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    left, right, near = left[use_l], right[use_r], near[np.ix_(use_l, use_r)]
+    shared = _overlaps(vals, left, right)
+    near &= 100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)
+    joined = np.zeros((len(ids), len(ids)), bool)
+    joined[np.ix_(left, right)] = near
+    joined |= joined.T
+    seen, out = ~joined.any(axis=1), []
+    for start in range(len(ids)):
+        if seen[start]:
+            continue
+        seen[start], front = True, np.array([start])
+        while len(front):
+            sub = joined[front]
+            new = np.flatnonzero(sub.any(axis=0) & ~seen)
+            out += zip(ids[front[sub[:, new].argmax(axis=0)]].tolist(), ids[new].tolist(), strict=True)
+            seen[new], front = True, new
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, k: int = SKETCH, m: int = LEAST_SHARED, percent: int = PERCENT, short: int = SHORT_LIST, tile: int = TILE) -> DataFrame:
@@ -153,18 +171,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
 
     # inverted lists over the rarest values of each sketch
-    lists = reps.select("rep", "n", F.size("sketch").alias("z"), F.explode("sketch").alias("v"))
+    lists = reps.select("rep", F.explode("sketch").alias("v"))
     often = lists.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    mine = lists.join(often, "v").groupBy("rep").agg(F.first("n").alias("n"), F.first("z").alias("z"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv"))
+    mine = lists.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv")).join(reps.select("rep", "n", F.size("sketch").alias("z")), "rep")
     room = F.col("z") - _needed(F.col("n"), k, m, percent) + 1 - (F.col("z") - F.size("fv"))
-    posts = materialize(mine.where(room > 0).select("rep", "n", F.explode(F.slice("fv", F.lit(1), room)).alias("x")).select("rep", "n", "x.v"), "lists")
+    ranked = materialize(mine.where(room > 0).select("rep", "n", F.explode(F.slice("fv", F.lit(1), room)).alias("x")).select("rep", "n", "x.v"), "ranked")
+    held = ranked.groupBy("v").agg(F.count("*").alias("f")).where("f > 1").select("v")
+    posts = materialize(ranked.join(held, "v"), "lists")
+    sets = materialize(full_sets(base.join(posts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    discard(ranked)
 
     # one partner for each class: the head that it meets in most lists
     heads = posts.groupBy("v").agg(F.min("rep").alias("head"), F.count("*").alias("f")).where("f > 1")
     met = posts.join(heads, "v").where("rep > head").groupBy("rep", "head").agg(F.count("*").alias("c"))
     best = met.groupBy("rep").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.h")).alias("b"))
     first_pairs = materialize(best, "pairs")
-    links = exact_links(first_pairs, base, size, percent)
+    links = exact_links(first_pairs, sets, percent)
     label = materialize(components(links), "label")
 
     # lists that hold several components: pairs across them
@@ -180,18 +202,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k), F.array_intersect("sa", "sb")))
     near = near.join(sk("a"), "a").join(sk("b"), "b").where(shared >= F.greatest(_needed(F.col("na"), k, m, percent), _needed(F.col("nb"), k, m, percent))).select("a", "b")
 
-    many = rest.where(F.col("f") > short).join(reps.select("rep", "sketch"), "rep")
-    tiles = F.ceil(F.col("f") / tile).cast("int")
-    at = many.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    at = at.select("v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "n", "comp", "sketch", F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        a, b = _tile_pairs(table, k, m, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    far = at.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(near.unionByName(far).distinct(), "pairs")
-    more = exact_links(pairs, base, size, percent)
+    own = rest.where(F.col("f") > short).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv"))
+    many = materialize(own.select("rep", "n", "comp", F.explode(F.slice("fv", 1, LONG_LISTS)).alias("x")).select("rep", "n", "comp", "x.v"), "long")
+    sizes = many.groupBy("v").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_VALUES)).cast("int").alias("tiles"))
+    at = many.join(sizes, "v").withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    at = at.select("v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "comp", F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        vals = t.column("vals").combine_chunks()
+        ends, flat = vals.offsets.to_numpy(), vals.values.to_numpy()
+        ids, comp, side = (t.column(c).to_numpy() for c in ("rep", "comp", "side"))
+        out = tile_links(ids, comp, side, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], k, m, percent)
+        return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate("ab")})
+
+    far = at.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
+    pairs = materialize(near, "pairs")
+    few_links, many_links = exact_links(pairs, sets, percent), materialize(far.distinct(), "far")
+    more = few_links.unionByName(many_links)
     name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     last = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
@@ -202,5 +229,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a document id that repeats with other texts belongs to the least of its rows' components
     out = s.join(named, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    discard(reps, posts, first_pairs, links, label, mixed, rest, pairs, more)
+    discard(reps, posts, first_pairs, links, label, mixed, rest, many, sets, pairs, few_links, many_links)
     return out
