@@ -10,7 +10,7 @@ stays bounded and a lost executor costs its cells only.  Partial top-k lists (k
 
 Defined cases: vectors that are null, or hold a null or non-finite component, or have no id, take no part.
 Vectors of different lengths do not meet.  Repeated rows (same id and vector) count once; a query never meets its own id.
-Empty tables give an empty result.  Components saturate at the range of a long, and so do scores.
+Empty tables give an empty result.  Components saturate at the range of a long, and scores at +-(2**63 - 1).
 Other columns are ignored.
 """
 
@@ -45,7 +45,7 @@ def _products(m: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
         return (m @ q).astype(np.int64)
     if kind == "i":
         return m @ q
-    return np.array([min(max(int(x), _LONG.min), _LONG.max) for x in m @ q], np.int64)
+    return np.array([min(max(int(x), -_LONG.max), _LONG.max) for x in m @ q], np.int64)
 
 
 def search_block(ids: np.ndarray, m: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
