@@ -112,7 +112,7 @@ def sample(src: np.ndarray, cols: np.ndarray, rows: np.ndarray, kernel: str, nod
     if kernel == "nearest":
         i, j = np.minimum(np.floor(y + 1e-10).astype(np.int64), full[0] - 1), np.minimum(np.floor(x + 1e-10).astype(np.int64), full[1] - 1)
         v, _, held = tap(i, j)
-        fine = held & ~((v == nodata) if nodata is not None else False)
+        fine = held & (v != nodata) if nodata is not None else held
         out[at], ok[at] = np.where(fine, v, 0), fine
         return out.reshape(np.shape(cols)), ok.reshape(np.shape(cols))
     if kernel == "average":

@@ -96,7 +96,7 @@ def _ok(nodata: float | None) -> str:
 def _sums(kernel: str, ok: str) -> Steps:
     out = [("n_ok", f"sum(case when {ok} then 1 else 0 end)"), ("sw", f"sum(case when {ok} then w else 0e0 end)"), ("swv", f"sum(case when {ok} then w * v else 0e0 end)")]
     if kernel == "cubic":
-        near = "dx < 1e0 and dy < 1e0"
+        near = "tc between floor(sc - 0.5e0) and floor(sc - 0.5e0) + 1 and tr between floor(sr - 0.5e0) and floor(sr - 0.5e0) + 1"
         out += [("n2_ok", f"sum(case when {ok} and {near} then 1 else 0 end)"), ("sb", f"sum(case when {ok} then bw else 0e0 end)"), ("sbv", f"sum(case when {ok} then bw * v else 0e0 end)")]
     return out
 
