@@ -41,7 +41,7 @@ def _letters() -> np.ndarray:
 def grams(column: pa.Array, bits: int = GRAM_BITS):
     """(n-gram numbers, row of each, rows' first row) of a string column, slice by slice."""
     data, offsets = text_buffer(column)
-    for lo, hi in slices(offsets, 2 << 20):
+    for lo, hi in slices(offsets, 1 << 19):
         raw = data[offsets[lo] : offsets[hi]]
         chars = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         ends = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets[lo : hi + 1] - offsets[lo]]
@@ -141,7 +141,7 @@ def identified(docs: DataFrame, filters: Filters, keep: list[str], text_col: str
     name = text_col if text_col in keep else "_text"
 
     def work(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
             lang, score = sent.value.decide(batch.column(name))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 

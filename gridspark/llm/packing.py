@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from gridspark.llm.common import materialize
 
-CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 500_000
+CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 250_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------

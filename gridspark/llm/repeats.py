@@ -197,7 +197,7 @@ def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 19):
                 part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 row, lo, hi, m, w = windows_of(part, ends, length, gram)
                 first = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
