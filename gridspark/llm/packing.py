@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from gridspark.llm.common import materialize
 
-CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 250_000
+CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 350_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -101,8 +101,9 @@ class WordIds:
                 out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        split = [t.lower().split() for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
@@ -122,24 +123,25 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids): the pieces of every document."""
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
+    width = 6 if keep_ids else 5
 
     def work(batches):
         words = WordIds(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                cols: list[list] = [[] for _ in range(6)]
-                for i, ids in zip(part.column(0).to_pylist(), words.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                cols: list[list] = [[] for _ in range(width)]
+                for i, ids in zip(part.column(0).to_pylist(), words.of([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         raw = ids[at : at + capacity].tobytes()
-                        for c, x in zip(cols, (i, k, at, len(raw) // 4, zlib.crc32(raw), raw), strict=True):
+                        for c, x in zip(cols, (i, k, at, len(raw) // 4, zlib.crc32(raw), raw), strict=False):
                             c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:width])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 # ---- plan ---------------------------------------------------------------------------------------
@@ -289,5 +291,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    pieces = token_pieces(docs, id_col, text_col, path, capacity)
-    return packed(materialize(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
+    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids)
+    return packed(materialize(pieces, "pieces"), capacity)
