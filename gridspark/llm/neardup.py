@@ -12,9 +12,8 @@
    tile with the full sets at hand, in bounded memory, and a tile gives out a spanning forest of its links only.
 
 For sets of up to k values candidates are complete.  For larger ones a link of similarity 0.75 exactly shares fewer than m
-retained values with probability below 1e-7, and less the more similar the two are; a member of many long lists is
-compared in its LONG_LISTS rarest, all missed by such a partner with probability of about 0.25 ** LONG_LISTS.  Confirmed
-links are exact (sets are compared as 64-bit fingerprints of shingles).
+retained values with probability below 1e-7, and less the more similar the two are.  No list and no member of one is left
+out, however long.  Confirmed links are exact (sets are compared as 64-bit fingerprints of shingles).
 
 Defined cases: no words or null text: no shingles, linked with nothing.  Fewer words than a shingle: one shingle of all.
 A null id takes part in nothing: component null, kept true.  Repeated rows are returned as often as they come, with equal results.
@@ -37,7 +36,7 @@ from gridspark.llm.components import components
 
 SHINGLE_WORDS, SKETCH, LEAST_SHARED, PERCENT = 5, 64, 28, 75
 #: Lists up to this length are paired by a join; longer ones in tiles of TILE members and TILE_VALUES values.
-SHORT_LIST, TILE, TILE_VALUES, LONG_LISTS = 16, 768, 400_000, 16
+SHORT_LIST, TILE, TILE_VALUES = 16, 768, 400_000
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -202,8 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k), F.array_intersect("sa", "sb")))
     near = near.join(sk("a"), "a").join(sk("b"), "b").where(shared >= F.greatest(_needed(F.col("na"), k, m, percent), _needed(F.col("nb"), k, m, percent))).select("a", "b")
 
-    own = rest.where(F.col("f") > short).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv"))
-    many = materialize(own.select("rep", "n", "comp", F.explode(F.slice("fv", 1, LONG_LISTS)).alias("x")).select("rep", "n", "comp", "x.v"), "long")
+    many = materialize(rest.where(F.col("f") > short).select("rep", "n", "comp", "v"), "long")
     sizes = many.groupBy("v").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_VALUES)).cast("int").alias("tiles"))
     at = many.join(sizes, "v").withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     at = at.select("v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "comp", F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"))
