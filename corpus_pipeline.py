@@ -19,6 +19,8 @@ from gridspark.llm.repeats import cleaned
 
 #: A text of which the best language explains less than this share of n-grams is in none of the learnt languages.
 LEAST_SCORE = 0.3
+#: Encoded words that a worker keeps: fewer than by default, as the stages before have filled its memory too.
+KEPT_WORDS = 250_000
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
-    return pack_documents(docs)
+    return pack_documents(docs, most_words=KEPT_WORDS)
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:

@@ -123,12 +123,12 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, most_words: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
     width = 6 if keep_ids else 5
 
     def work(batches):
-        words = WordIds(path)
+        words = WordIds(path, most_words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -285,11 +285,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     return ranked.select(*names, "_rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, most_words: int = CACHE) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).  A worker keeps up to most_words encoded words."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids)
+    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids, most_words=most_words)
     return packed(materialize(pieces, "pieces"), capacity)
