@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.kernels import DTYPES, checked_dtype, fill_value, kernel_name, sample, scales, typed, usable_nodata
 from gridspark.plans.grid import Grid
-from gridspark.plans.planner import plan_reproject, source_coords
+from gridspark.plans.planner import plan_frame, plan_reproject, plan_table, source_coords
 from gridspark.sources.adapters import schema_of
 
 
+#: Destination tiles up to which the driver makes the plan; beyond it tasks do.
+DRIVER_PLAN = 4096
+
+
 def scanline_coords(src: Grid, dst: Grid, r0: int, c0: int, h: int, w: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates by linear pieces along each row: a piece is halved until its middle is within `threshold` pixels."""
     cols, rows = np.empty((h, w)), np.empty((h, w))
@@ -39,26 +43,29 @@ def scanline_coords(src: Grid, dst: Grid, r0: int, c0: int, h: int, w: int, thre
     return cols, rows
 
 
-def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "bilinear", nodata: float | None = None, dtype: str = "float64", rounding: str = "round", keys: tuple[str, ...] = (), tile: tuple[int, int] = (256, 256), dst_chunks: tuple[int, int] | None = (256, 256), error_threshold: float | None = None, coord_decimals: int | None = None, max_bytes: int = 256 << 20) -> DataFrame:
+def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "bilinear", nodata: float | None = None, dtype: str = "float64", rounding: str = "round", keys: tuple[str, ...] = (), tile: tuple[int, int] = (256, 256), dst_chunks: tuple[int, int] | None = (256, 256), error_threshold: float | None = None, coord_decimals: int | None = None, max_bytes: int = 256 << 20, driver_plan: int = DRIVER_PLAN) -> DataFrame:
     """Tile table of dst.  Tiles without source data are filled without touching the source."""
     kernel, kind = kernel_name(resampling), DTYPES[checked_dtype(dtype)][0]
     nd, fill = usable_nodata(nodata, dtype), fill_value(nodata, dtype)
     scale = scales(src.affine, dst.affine)
-    plan = plan_reproject(src, dst, dst_chunks, kernel)
     th, tw = dst_chunks or dst.shape
-    big = max([(p["src_r1"] - p["src_r0"]) * (p["src_c1"] - p["src_c0"]) * 8 for p in plan], default=0)
+    few = -(-dst.rows // th) * -(-dst.cols // tw) <= driver_plan
+    if few:
+        rows = plan_reproject(src, dst, dst_chunks, kernel)
+        big = max([(p["src_r1"] - p["src_r0"]) * (p["src_c1"] - p["src_c0"]) * 8 for p in rows], default=0)
+    else:
+        plan = plan_table(tiles.sparkSession, src, dst, dst_chunks, kernel)
+        big = plan.agg(F.max(F.expr("8L * (src_r1 - src_r0) * (src_c1 - src_c0)"))).first()[0] or 0
     if big > max_bytes:
         raise ValueError(f"a destination tile reads {big >> 20} MiB of source; take smaller dst_chunks than {(th, tw)}")
     spark = tiles.sparkSession
-    name = lambda p: (p["dst_r0"] // th, p["dst_c0"] // tw)
-    need = [
-        (*name(p), p["dst_r0"], p["dst_c0"], p["h"], p["w"], p["src_r0"], p["src_r1"], p["src_c0"], p["src_c1"], i, j)
-        for p in plan if p["has_data"]
-        for i in range(p["src_r0"] // tile[0], (p["src_r1"] - 1) // tile[0] + 1)
-        for j in range(p["src_c0"] // tile[1], (p["src_c1"] - 1) // tile[1] + 1)
-    ]
+    if few:
+        plan = plan_frame(spark, rows)
+    place = f"dst_r0 div {th} as d_row", f"dst_c0 div {tw} as d_col", "dst_r0 as d_r0", "dst_c0 as d_c0", "h as d_h", "w as d_w"
     window = ["d_row", "d_col", "d_r0", "d_c0", "d_h", "d_w", "s_r0", "s_r1", "s_c0", "s_c1"]
-    wanted = spark.createDataFrame(need, ", ".join(f"{c} int" for c in [*window, "tile_row", "tile_col"]))
+    held_by = plan.where("has_data").selectExpr(*place, "src_r0 as s_r0", "src_r1 as s_r1", "src_c0 as s_c0", "src_c1 as s_c1")
+    blocks = lambda lo, hi, n: F.explode(F.expr(f"transform(sequence({lo} div {n}, ({hi} - 1) div {n}), x -> cast(x as int))"))
+    wanted = held_by.withColumn("tile_row", blocks("s_r0", "s_r1", tile[0])).withColumn("tile_col", blocks("s_c0", "s_c1", tile[1]))
     schema = schema_of(tiles, keys) + "tile_row int, tile_col int, r0 int, c0 int, h int, w int, data binary"
 
     def warp(t: pa.Table) -> pa.Table:
@@ -85,10 +92,8 @@ def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "b
         return pa.table({k: t.column(k).slice(0, 1) for k in keys} | {c: pa.array([x], pa.int32()) for c, x in zip(("tile_row", "tile_col", "r0", "c0", "h", "w"), (d_row, d_col, r0, c0, h, w), strict=True)} | {"data": pa.array([data], pa.binary())})
 
     done = tiles.join(wanted, ["tile_row", "tile_col"]).groupBy(*keys, "d_row", "d_col").applyInArrow(warp, schema)
-    empty = [(*name(p), p["dst_r0"], p["dst_c0"], p["h"], p["w"]) for p in plan if not p["has_data"]]
-    if not empty:
-        return done
-    one = np.array([fill]).astype(kind).tobytes()
-    blank = spark.createDataFrame([(1, *e, bytearray(one * (e[4] * e[5]))) for e in empty], "_one int, tile_row int, tile_col int, r0 int, c0 int, h int, w int, data binary")
+    one = np.array([fill]).astype(kind).tobytes().hex()
+    cast = [f"cast(dst_r0 div {th} as int) as tile_row", f"cast(dst_c0 div {tw} as int) as tile_col", "dst_r0 as r0", "dst_c0 as c0", "h", "w", f"unhex(repeat('{one}', h * w)) as data", "1 as _one"]
+    blank = plan.where("not has_data").selectExpr(*cast)
     bands = (tiles.select(*keys).distinct() if keys else spark.range(1).select()).withColumn("_one", F.lit(1))
     return done.unionByName(bands.join(blank, "_one").drop("_one"))

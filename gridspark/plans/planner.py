@@ -1,10 +1,11 @@
-"""Which source window each destination tile needs.  Plans are small tables made on the driver and joined by tile."""
+"""Which source window each destination tile needs.  Small plans are made on the driver, large ones by tasks; both are joined by tile."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gridspark.operators.kernels import kernel_name, reach, scales
@@ -12,6 +13,8 @@ from gridspark.plans.grid import Affine, Grid, transform
 
 AFFINE = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
 PLAN = f"dst_r0 int, dst_r1 int, dst_c0 int, dst_c1 int, src_r0 int, src_r1 int, src_c0 int, src_c1 int, src_affine {AFFINE}, dst_affine {AFFINE}, h int, w int, has_data boolean"
+_SIX = pa.struct([(k, pa.float64()) for k in "abcdef"])
+_ARROW = [(f"{a}_{b}", pa.int32()) for a in ("dst", "src") for b in ("r0", "r1", "c0", "c1")] + [("src_affine", _SIX), ("dst_affine", _SIX), ("h", pa.int32()), ("w", pa.int32()), ("has_data", pa.bool_())]
 
 
 def source_coords(src: Grid, dst: Grid, cols, rows) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +80,30 @@ def plan_frame(spark: SparkSession, plan: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(tuple(p[k]) if isinstance(p[k], Affine) else p[k] for k in keys) for p in plan], PLAN)
 
 
+def plan_table(spark: SparkSession, src: Grid, dst: Grid, dst_chunks: tuple[int, int] | None = None, resampling: str = "bilinear", tiles_per_task: int = 2048) -> DataFrame:
+    """The rows of plan_reproject, made by tasks: for grids of very many tiles."""
+    kernel = kernel_name(resampling)
+    th, tw = dst_chunks or dst.shape
+    if min(th, tw) < 1:
+        raise ValueError("tile size must be positive")
+    down, across = -(-dst.rows // th), -(-dst.cols // tw)
+    schema = pa.schema([(f, t) for f, t in _ARROW])
+
+    def work(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for lo in range(0, len(ids), 512):
+                rows = []
+                for i in ids[lo : lo + 512]:
+                    r, c = divmod(i, across)
+                    p = plan_tile(src, dst, r * th, min(dst.rows, (r + 1) * th), c * tw, min(dst.cols, (c + 1) * tw), kernel)
+                    rows.append({k: v._asdict() if isinstance(v, Affine) else v for k, v in p.items()})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    n = down * across
+    return spark.range(0, n, 1, min(10_000, -(-n // tiles_per_task))).mapInArrow(work, PLAN)
+
+
 def blocks_per_tile(plan: list[dict], tile: tuple[int, int]) -> int:
     """Most source tiles that one destination tile reads: its memory bound."""
     return max([((p["src_r1"] - 1) // tile[0] - p["src_r0"] // tile[0] + 1) * ((p["src_c1"] - 1) // tile[1] - p["src_c0"] // tile[1] + 1) for p in plan if p["has_data"]], default=0)
