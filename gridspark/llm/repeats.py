@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer
 
 LENGTH, GRAM, BUCKET_BYTES, CROWD, PLACE_BITS = 400, 128, 1_000_000, 1000, 26
+#: No part of a key holds more than this share of the rows that a join spreads; so at most as many keys are broadcast.
+SPREAD = 1000
 SEPARATOR = 255
 
 
@@ -214,6 +216,18 @@ def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, h1 long, h2 long, n_bytes long, sha string, windows array<struct<lo:long,hi:long,m:long,w:long>>")
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame:
+    """rows (on, by, ...) joined with keys (on, rows of each); a key with many rows is parted by the hash of `by`.
+
+    The parts of a key follow from its count.  Only keys of two parts or more are broadcast: at most SPREAD of them exist."""
+    total = keys.agg(F.sum("rows")).first()[0] or 1
+    parts = F.ceil(F.col("rows") * F.lit(SPREAD) / F.lit(total)).cast("int")
+    hot = F.broadcast(keys.where(parts > 1).select(on, parts.alias("parts")))
+    dealt = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(by, F.lit(11)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = keys.select(on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(copied, [on, "part"]).drop("part")
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (survey, marks).
 
@@ -221,9 +235,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     marks: h1, h2, runs (array of lo, hi): the repeated starts of texts without copies."""
     survey = materialize(surveyed(docs, length, gram), "survey")
     texts = survey.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    each = survey.select("h1", "h2", F.explode("windows").alias("x")).select("h1", "h2", "x.*").withColumn("id", F.xxhash64("h1", "h2", "lo"))
-    shared = each.groupBy("m").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i <> j").select("m")
-    live = materialize(each.join(shared, "m"), "live")
+    each = survey.select("doc_id", "h1", "h2", F.explode("windows").alias("x")).select("doc_id", "h1", "h2", "x.*").withColumn("id", F.xxhash64("h1", "h2", "lo"))
+    shared = materialize(each.groupBy("m").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.count("*").alias("rows")).where("i <> j").select("m", "rows"), "shared")
+    row = F.xxhash64("doc_id", "id").alias("row")  # copies of a text differ by doc_id
+    live = materialize(spread_join(each.select("h1", "h2", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row"), "live")
+    discard(shared)
     kinds = live.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j"))
     crowds = kinds.groupBy("m").agg(F.count("*").alias("kinds"))
     told = materialize(live.join(kinds.join(crowds, "m").select("m", "w", "i", (F.col("i") != F.col("j")).alias("known"), "kinds"), ["m", "w"]), "told")

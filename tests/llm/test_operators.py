@@ -305,6 +305,17 @@ def test_repeats_edges(spark, empty):
     assert left[2] == "tail " and 1 not in left
 
 
+def test_spread_join(spark):
+    from gridspark.llm.repeats import spread_join
+
+    data = [(7, i) for i in range(3000)] + [(i % 50, 10_000 + i) for i in range(500)] + [(100 + i, i) for i in range(40)] + [(None, 1)]
+    keys = Counter(m for m, _ in data if m is not None and m < 60)
+    rows = spark.createDataFrame(data, "m long, row long")
+    got = spread_join(rows, spark.createDataFrame(list(keys.items()), "m long, rows long"), "m", "row")
+    assert sorted((r["m"], r["row"]) for r in got.collect()) == sorted(x for x in data if x[0] in keys)
+    assert spread_join(rows, spark.createDataFrame([], "m long, rows long"), "m", "row").count() == 0
+
+
 def test_run_index():
     from gridspark.llm.repeats import RunIndex, suffix_array
 
