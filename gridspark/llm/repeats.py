@@ -217,14 +217,14 @@ def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame:
-    """rows (on, by, ...) joined with keys (on, rows of each); a key with many rows is parted by the hash of `by`.
+    """rows (on, by, ...) joined with keys (on, its number of rows, ...); a key with many rows is parted by the hash of `by`.
 
     The parts of a key follow from its count.  Only keys of two parts or more are broadcast: at most SPREAD of them exist."""
     total = keys.agg(F.sum("rows")).first()[0] or 1
     parts = F.ceil(F.col("rows") * F.lit(SPREAD) / F.lit(total)).cast("int")
     hot = F.broadcast(keys.where(parts > 1).select(on, parts.alias("parts")))
     dealt = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(by, F.lit(11)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    copied = keys.select(on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    copied = keys.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     return dealt.join(copied, [on, "part"]).drop("part")
 
 
@@ -238,12 +238,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     each = survey.select("doc_id", "h1", "h2", F.explode("windows").alias("x")).select("doc_id", "h1", "h2", "x.*").withColumn("id", F.xxhash64("h1", "h2", "lo"))
     shared = materialize(each.groupBy("m").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.count("*").alias("rows")).where("i <> j").select("m", "rows"), "shared")
     row = F.xxhash64("doc_id", "id").alias("row")  # copies of a text differ by doc_id
-    live = materialize(spread_join(each.select("h1", "h2", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row"), "live")
+    live = materialize(spread_join(each.select("h1", "h2", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row", "rows"), "live")
     discard(shared)
-    kinds = live.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j"))
-    crowds = kinds.groupBy("m").agg(F.count("*").alias("kinds"))
-    told = materialize(live.join(kinds.join(crowds, "m").select("m", "w", "i", (F.col("i") != F.col("j")).alias("known"), "kinds"), ["m", "w"]), "told")
-    discard(live)
+    kinds = materialize(live.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j")), "kinds")
+    crowds = materialize(kinds.groupBy("m").agg(F.count("*").alias("rows")), "crowds")
+    counted = spread_join(kinds, crowds, "m", "w").select("m", "w", "i", (F.col("i") != F.col("j")).alias("known"), F.col("rows").alias("kinds"))
+    told = materialize(live.join(counted, ["m", "w"]), "told")
+    discard(live, kinds, crowds)
     todo = told.where("id = i and kinds > 1").dropDuplicates(["m", "id"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi", "m", "known", (F.col("kinds") > crowd).alias("crowded"))).alias("need"))
     need = todo.join(texts.drop("copies"), ["h1", "h2"]).select(F.col("doc_id").alias("rep"), "h1", "h2", "need")
 
