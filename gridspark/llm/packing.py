@@ -3,9 +3,11 @@
 Documents become token ids; only longer ones are cut, into pieces of `capacity`.  What the driver sees is the histogram of
 piece lengths, at most `capacity` numbers whatever the corpus.  A configuration is a multiset of lengths that fits a
 sequence.  The covering program - fewest sequences so that every length is covered as often as it occurs - is solved by
-multiplicative weights: each length's price falls exponentially with its coverage, the best configuration at
-these prices comes from a knapsack dynamic program, and it is used as far as half of its scarcest length allows.
-Rounding down leaves a remainder, which best-fit decreasing packs on the histogram.
+multiplicative weights: each length's price falls exponentially with the covered share of its count, the best
+configuration at these prices comes from a knapsack dynamic program, and it is used for a small part of its scarcest
+length.  From there simplex steps with the same knapsack lead to the program's optimum.  More than GROUPS lengths are first rounded up to so many, with the least waste; pieces keep their own lengths.
+Whole uses come from rounding down or up, best-fit decreasing adds what is left, and the plan of fewest sequences among these
+and plain best-fit decreasing is taken.  Where best fit alone meets total length / capacity, nothing can be better.
 
 Each piece's rank within its length (numbered in hash cells of bounded size) then finds its sequence and offset by a
 binary search in the plan, so nothing about single pieces passes the driver.
@@ -29,6 +31,8 @@ from pyspark.sql.window import Window
 from gridspark.llm.common import materialize
 
 CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 500_000
+#: Of the covering program: accuracy aimed at, rows it has at most, and knapsacks solved at most (about).
+ACCURACY, GROUPS, STEPS = 0.01, 96, 6000
 
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -148,50 +152,109 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The most valuable multiset of lengths that fits the capacity (unbounded knapsack by dynamic programming)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths, prices = lengths[order], prices[order]
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        if n := upto[c]:
-            v = best[c - lengths[:n]] + prices[:n]
-            j = int(np.argmax(v))
-            if v[j] > best[c]:
-                best[c], pick[c] = v[j], j
+    """The most valuable multiset of lengths that fits the capacity (knapsack dynamic program, copies by powers of two)."""
+    best, steps = np.zeros(capacity + 1), []
+    for length, price in zip(lengths.tolist(), prices.tolist(), strict=True):
+        left, k = capacity // length, 1
+        while left > 0:
+            k = min(k, left)
+            size = k * length
+            value = best[: capacity + 1 - size] + k * price
+            steps.append((length, k, size, value > best[size:]))
+            np.maximum(best[size:], value, out=best[size:])
+            left, k = left - k, 2 * k
     out, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
+    for length, k, size, taken in reversed(steps):
+        if c >= size and taken[c - size]:
+            out[length] += k
+            c -= size
     return out
 
 
-def solve_covering(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 2.0) -> dict[tuple, float]:
-    """Fractional use of configurations, by multiplicative weights with knapsack pricing; covers no length beyond its count."""
+def solve_covering(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Fractional use of configurations that covers every length as often as it occurs, by multiplicative weights.
+
+    A length's weight starts at 1 and falls as exp(-eta coverage / count); a piece costs weight / count, and the
+    configuration of most value is used until the scarcest of its lengths has 1 / eta more of its count.  Covered lengths
+    drop out.  eta = log(lengths) / ACCURACY as far as `rounds` steps a length, and STEPS in all, allow."""
     covered, use = np.zeros(len(lengths)), defaultdict(float)
     at = {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds):
-        open_ = covered < counts - 0.5
-        if not open_.any():
-            break
-        prices = lengths[open_] * np.exp(-rate * 0.01 * covered[open_] / counts[open_])
+    eta = max(2.0, min(np.log(len(lengths) + 1) / ACCURACY, rounds, STEPS / len(lengths)))
+    while (open_ := covered < 1 - 1e-9).any():
+        prices = np.exp(-eta * (covered[open_] - covered[open_].min())) / counts[open_]
         p = best_configuration(lengths[open_], prices, capacity)
-        where = np.array([at[x] for x in p])
-        times = np.array(list(p.values()))
-        room = (counts - covered)[where] / times
-        step = float(room.min()) if room.min() <= 2 else float(max(room.min() / 2, 1.0))
-        covered[where] += step * times
+        where, times = np.array([at[x] for x in p]), np.array(list(p.values()))
+        step = float((counts[where] / times).min()) / eta
+        covered[where] += step * times / counts[where]
         use[tuple(sorted(p.items()))] += step
     return use
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """Best-fit decreasing on counts: (configuration) -> sequences."""
+def exchanged(lengths: np.ndarray, counts: np.ndarray, capacity: int, use: dict[tuple, float], steps: int = STEPS) -> dict[tuple, float]:
+    """The covering program's optimum from the weights' configurations: simplex steps, which bring in a configuration of use
+    or, where none of those helps, the knapsack's, until at the basis' prices none is worth more than one sequence."""
+    at = {int(x): i for i, x in enumerate(lengths)}
+
+    def column(config) -> np.ndarray:
+        out = np.zeros(len(lengths))
+        for k, t in config:
+            out[at[k]] = t
+        return out
+
+    configs = [((int(k), int(capacity // k)),) for k in lengths]
+    basis = np.diag((capacity // lengths).astype(float))
+    x = counts / np.diag(basis)
+    found = list(use)
+    columns = np.array([column(c) for c in found]).T
+    for _ in range(steps):
+        prices = np.linalg.solve(basis.T, np.ones(len(lengths)))
+        worth = prices @ columns
+        j = int(np.argmax(worth))
+        if worth[j] > 1 + 1e-7:
+            config, new = found[j], columns[:, j]
+        else:
+            dear = prices > 1e-12
+            config = tuple(sorted(best_configuration(lengths[dear], prices[dear], capacity).items()))
+            new = column(config)
+            if prices @ new <= 1 + 1e-7:
+                break
+        change = np.linalg.solve(basis, new)
+        ratio = np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf)
+        r = int(np.argmin(ratio))
+        x = np.maximum(x - ratio[r] * change, 0)
+        x[r], basis[:, r], configs[r] = ratio[r], new, config
+    out: dict[tuple, float] = defaultdict(float)
+    for config, n in zip(configs, x.tolist(), strict=True):
+        out[config] += n
+    return out
+
+
+def grouped(lengths: np.ndarray, counts: np.ndarray, most: int = GROUPS) -> list[list[int]]:
+    """Positions of the lengths (ascending) in at most `most` runs, longest first, with the waste of rounding up within a
+    run as small as that allows; so a frequent length stays alone."""
+
+    def runs(waste: int) -> list[list[int]]:
+        out, lost = [], 0
+        for i in range(len(lengths) - 1, -1, -1):
+            lost += int(lengths[out[-1][0]] - lengths[i]) * int(counts[i]) if out else 0
+            if not out or lost > waste:
+                out.append([])
+                lost = 0
+            out[-1].append(i)
+        return out
+
+    lo, hi = 0, int((lengths[-1] - lengths) @ counts)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if len(runs(mid)) <= most else (mid + 1, hi)
+    return runs(lo)
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: Counter | None = None) -> Counter:
+    """Best-fit decreasing on counts, into the sequences begun and new ones: (configuration) -> sequences."""
     free: list[Counter] = [Counter() for _ in range(capacity + 1)]  # configurations by room left
+    for config, n in (begun or {}).items():
+        free[capacity - sum(k * t for k, t in config)][config] += n
     for length, n in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
         room = length
         while n:
@@ -219,6 +282,33 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
     return out
 
 
+def rounded(use: list[tuple[tuple, int]], groups: dict[int, list[list[int]]], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
+    """Whole sequences: each configuration as often as asked while its groups have pieces, the rest by best fit."""
+    runs = {g: [list(x) for x in members] for g, members in groups.items()}  # [length, pieces left], longest first
+    have = {g: sum(n for _, n in members) for g, members in groups.items()}
+    begun: Counter = Counter()
+    for config, n in use:
+        n = min([n, *(have[g] // t for g, t in config)])
+        while n > 0:
+            whole = min([n, *(runs[g][0][1] // t for g, t in config)])
+            filled: Counter = Counter()
+            for g, t in config:
+                have[g] -= max(1, whole) * t
+                need = max(1, whole) * t
+                while need:
+                    q = min(need, runs[g][0][1])
+                    filled[runs[g][0][0]] += q // whole if whole else q
+                    runs[g][0][1] -= q
+                    need -= q
+                    if not runs[g][0][1]:
+                        runs[g].pop(0)
+            begun[tuple(sorted(filled.items()))] += max(1, whole)
+            n -= max(1, whole)
+    left = {k: n for members in runs.values() for k, n in members if n}
+    keys = np.array(sorted(left), np.int64)
+    return best_fit(keys, np.array([left[int(k)] for k in keys], np.int64), capacity, begun)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Counter:
     """Configurations (sorted (length, times) pairs) and how many sequences use each; covers the histogram exactly."""
     out: Counter = Counter()
@@ -228,15 +318,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     if rest:
         lengths = np.array(sorted(rest), np.int64)
         counts = np.array([rest[int(x)] for x in lengths], np.int64)
-        left = counts.copy()
-        at = {int(x): i for i, x in enumerate(lengths)}
-        for config, x in solve_covering(lengths, counts.astype(float), capacity, rounds).items():
-            whole = min([int(x + 1e-9), *(int(left[at[i]]) // t for i, t in config)])
-            if whole:
-                out[config] += whole
-                for i, t in config:
-                    left[at[i]] -= whole * t
-        out.update(best_fit(lengths[left > 0], left[left > 0], capacity))
+        best = best_fit(lengths, counts, capacity)
+        if sum(best.values()) > -(-int(lengths @ counts) // capacity):  # else no packing has fewer
+            groups = {int(lengths[g[0]]): [[int(lengths[i]), int(counts[i])] for i in g] for g in grouped(lengths, counts)}
+            sizes = np.array(sorted(groups), np.int64)
+            need = np.array([sum(n for _, n in groups[int(g)]) for g in sizes], float)
+            use = exchanged(sizes, need, capacity, solve_covering(sizes, need, capacity, rounds))
+            size = lambda config: sum(k * t for k, t in config)
+            for order in (lambda c: (-use[c], c), lambda c: (-size(c), -use[c], c)):
+                for whole in (lambda x: int(x + 1e-9), lambda x: int(np.ceil(x - 1e-9))):
+                    made = rounded([(c, whole(use[c])) for c in sorted(use, key=order)], groups, lengths, counts, capacity)
+                    best = min(best, made, key=lambda x: sum(x.values()))
+        out.update(best)
     return out
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeats, empty tables and
 extra columns."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -244,6 +245,52 @@ def test_plan_covers_every_histogram():
     assert plan({}, 100) == {}
 
 
+def fewest(hist, capacity):
+    """Exact optimum of a small histogram, by trying what goes with the longest piece."""
+    lengths = sorted(hist, reverse=True)
+
+    @functools.cache
+    def least(left):
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)
+
+        def fill(i, room, now):
+            if i == len(lengths):
+                yield now
+                return
+            for k in range(min(now[i], room // lengths[i]) + 1):
+                yield from fill(i + 1, room - k * lengths[i], (*now[:i], now[i] - k, *now[i + 1 :]))
+
+        start = (*left[:first], left[first] - 1, *left[first + 1 :])
+        return 1 + min(least(x) for x in fill(first, capacity - lengths[first], start))
+
+    return least(tuple(hist[x] for x in lengths))
+
+
+def test_plan_of_peaked_histograms():
+    from gridspark.llm.packing import plan
+
+    def sequences(hist, capacity):
+        configs, seen = plan(hist, capacity), Counter()
+        for c, n in configs.items():
+            assert sum(k * v for k, v in c) <= capacity
+            seen.update({k: v * n for k, v in c})
+        assert seen == hist
+        return sum(configs.values())
+
+    assert sequences({1100: 1000, 512: 1000}, 2048) == 1000
+    assert sequences({51: 600, 27: 600, 26: 600, 23: 1200}, 100) <= 1.02 * 900  # 900 full ones
+    rng = np.random.default_rng(2)
+    for _ in range(25):
+        hist = {int(k): int(rng.integers(1, 6)) for k in rng.integers(8, 60, 4)}
+        assert sequences(hist, 100) <= fewest(hist, 100) + 1
+        # a hundred copies of a packing are a packing of a hundred copies
+        assert sequences({k: 100 * n for k, n in hist.items()}, 100) <= 1.02 * 100 * fewest(hist, 100) + 1
+    tail = {int(k): int(n) for k, n in zip(rng.integers(1, 2048, 900), rng.integers(1, 4, 900), strict=True)} | {1100: 40_000, 512: 40_000}
+    assert sequences(tail, 2048) <= 1.02 * (40_000 + sum(n for k, n in tail.items() if k > 948 and k != 1100))
+
+
 # ---- 6 ------------------------------------------------------------------------------------------
 
 
