@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridspark.llm.common import discard, materialize, table
 from gridspark.llm.langid import UNKNOWN, language_id
@@ -47,8 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
-    return pack_documents(docs, most_words=KEPT_WORDS)
+    """Token pieces with their ids, sequences and offsets; copy (from 1) tells apart the rows of one doc_id, such as epochs."""
+    text = F.xxhash64("text")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    return pack_documents(docs.withColumn("copy", F.row_number().over(same)), keep_ids=True, most_words=KEPT_WORDS, copy_col="copy")
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:

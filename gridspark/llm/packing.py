@@ -127,8 +127,8 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, most_words: int = CACHE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, most_words: int = CACHE, copy_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, copy]): the pieces of every document."""
     width = 6 if keep_ids else 5
 
     def work(batches):
@@ -137,15 +137,22 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 cols: list[list] = [[] for _ in range(width)]
-                for i, ids in zip(part.column(0).to_pylist(), words.of([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]), strict=True):
+                copies: list = []
+                for i, copy, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), words.of([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    copies.extend([copy] * -(-len(ids) // capacity))
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         raw = ids[at : at + capacity].tobytes()
                         for c, x in zip(cols, (i, k, at, len(raw) // 4, zlib.crc32(raw), raw), strict=False):
                             c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:width])
+                arrays, names = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:width]
+                if copy_col:
+                    arrays, names = [*arrays, pa.array(copies, pa.int64())], [*names, "copy"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), copy.alias("copy"))
+    return rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", copy long" * bool(copy_col))
 
 
 # ---- plan ---------------------------------------------------------------------------------------
@@ -361,8 +368,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     total = sum(histogram.values())
     cells = max(1, -(-total // CELL_ROWS))
-    with_cell = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)).cast("int"))
-    order = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "ids_crc32")
+    key = ["doc_id", "piece", "ids_crc32", *(["copy"] if "copy" in names else [])]
+    with_cell = pieces.withColumn("_cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int"))
+    order = Window.partitionBy("length", "_cell").orderBy(*key)
     sums = with_cell.groupBy("length", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -378,11 +386,12 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     return ranked.select(*names, "_rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, most_words: int = CACHE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).  A worker keeps up to most_words encoded words."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, most_words: int = CACHE, copy_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, copy], sequence_id, offset): ids are little-endian 32-bit token ids,
+    copy is docs' number for rows of one id.  A worker keeps up to most_words encoded words."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids, most_words=most_words)
+    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids, most_words=most_words, copy_col=copy_col)
     return packed(materialize(pieces, "pieces"), capacity)

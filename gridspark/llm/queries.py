@@ -43,7 +43,8 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridspark.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    placed = pack_documents(table(spark, sf_dir, "documents"), keep_ids=True)
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

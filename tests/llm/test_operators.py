@@ -496,6 +496,25 @@ def test_pipeline(spark, rows, tmp_path):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pipeline_keeps_the_ids_of_every_copy(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    rows = [(1, prose(rng, 3000)), (1, prose(rng, 50)), (2, "ka lo"), (2, "ka lo"), (None, prose(rng, 9)), (3, None)]
+    out = P.pack(spark, documents(spark, rows), "").collect()
+    made = defaultdict(list)
+    for r in out:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        made[(r["doc_id"], r["copy"])].append((r["piece"], bytes(r["ids"])))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in rows)
+    assert Counter((i, b"".join(x for _, x in sorted(parts))) for (i, _), parts in made.items()) == want
+    assert all([k for k, _ in sorted(parts)] == list(range(len(parts))) for parts in made.values())
+
+
 def test_pipeline_on_nothing(spark, empty, tmp_path):
     import corpus_pipeline as P
 
