@@ -86,7 +86,8 @@ QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_licence_digest, op3_gif_c
 
 
 def _licence_sql() -> str:
-    from gridspark.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
+    from gridspark.llm.licences import KNOWN, SPELLINGS
+    from gridspark.llm.licences import SQL_COPYRIGHT_LINE as COPYRIGHT_LINE
 
     def canon(x: str) -> str:
         out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"

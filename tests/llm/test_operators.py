@@ -99,6 +99,14 @@ def test_licences(spark, empty):
     assert scanned(empty).count() == 0
 
 
+def test_copyright_lines_end_where_they_end(spark):
+    from gridspark.llm.licences import KNOWN, scanned
+
+    mit, notice = KNOWN[0][1], "Released under the MIT License."
+    rows = [(1, "Copyright (c) 2020 X\nAll rights reserved.\n" + mit), (2, "All rights reserved.\nanything\n" + notice), (3, notice + "\nAll rights reserved. "), (4, "(c) 2020 X\nall rights reserved\n\n" + notice)]
+    assert {r["doc_id"]: r["licence_id"] for r in scanned(documents(spark, rows)).collect()} == {1: "MIT", 2: None, 3: "MIT", 4: "MIT"}
+
+
 # ---- 3 ------------------------------------------------------------------------------------------
 
 
