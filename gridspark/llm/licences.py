@@ -75,5 +75,5 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_
 def notices(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, licence_id): every line (from 0) that is a known licence or notice as a whole."""
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_line"))
-    rows = each.where(F.lower("_line").rlike("licen[cs]e")).select("doc_id", "line", F.sha2(canonical(F.col("_line")), 256).alias("digest"))
+    rows = each.select("doc_id", "line", F.sha2(canonical(F.col("_line")), 256).alias("digest"))
     return rows.join(known_digests(docs.sparkSession) if known is None else known, "digest").select("doc_id", "line", "licence_id")

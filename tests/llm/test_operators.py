@@ -107,6 +107,14 @@ def test_copyright_lines_end_where_they_end(spark):
     assert {r["doc_id"]: r["licence_id"] for r in scanned(documents(spark, rows)).collect()} == {1: "MIT", 2: None, 3: "MIT", 4: "MIT"}
 
 
+def test_notices_need_no_certain_word(spark):
+    from gridspark.llm.licences import KNOWN, known_digests, notices
+
+    df = documents(spark, [(1, "x\n" + KNOWN[1][1] + "\n\n"), (2, "y\nDo as you like!\n"), (3, None)])
+    assert [tuple(r) for r in notices(df).collect()] == [(1, 1, "ISC")]
+    assert [tuple(r) for r in notices(df, known_digests(spark, [("own", "do as you like")])).collect()] == [(2, 1, "own")]
+
+
 # ---- 3 ------------------------------------------------------------------------------------------
 
 
