@@ -115,6 +115,18 @@ def test_notices_need_no_certain_word(spark):
     assert [tuple(r) for r in notices(df, known_digests(spark, [("own", "do as you like")])).collect()] == [(2, 1, "own")]
 
 
+def test_licence_table(spark):
+    from gridspark.llm.licences import KNOWN, TEXTS, catalogue, known_digests, notices, scanned
+
+    assert Counter(map(tuple, known_digests(spark).collect())) == Counter(map(tuple, known_digests(spark, catalogue()).collect()))
+    names = sorted(p.stem for p in TEXTS.glob("*.txt"))
+    whole = {i: (TEXTS / f"{x}.txt").read_text() for i, x in enumerate(names)} | {100: "MIT License\n\nCopyright (c) 2021 Someone\n\n" + KNOWN[0][1], 101: "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + (TEXTS / "BSD-3-Clause.txt").read_text()}
+    got = {r["doc_id"]: r["licence_id"] for r in scanned(documents(spark, list(whole.items()))).collect()}
+    assert got == {**dict(enumerate(names)), 100: "MIT", 101: "BSD-3-Clause"}
+    lines = ['Licensed under the Apache License, Version 2.0 (the "License")', "# SPDX-License-Identifier: BSD-3-Clause", "This project is licensed under the MIT License - see the LICENSE file for details.", "licensed to nobody"]
+    assert [tuple(r)[1:] for r in notices(documents(spark, [(1, "\n".join(lines))])).orderBy("line").collect()] == [(0, "Apache-2.0"), (1, "BSD-3-Clause"), (2, "MIT")]
+
+
 # ---- 3 ------------------------------------------------------------------------------------------
 
 
