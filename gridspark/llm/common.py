@@ -30,12 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is deleted at exit."""
+    path = f"{shared_dir(spark)}/gridspark-{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridspark-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _made.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path  # type: ignore[attr-defined]
     return back

@@ -1,10 +1,10 @@
 """Two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters records uniformly into memory-sized buckets by a seeded hash; pass two sorts each bucket into a fixed
+Pass one scatters digests of the records (SHA-256 of all columns) uniformly into memory-sized buckets by a seeded hash; pass two sorts each bucket into a fixed
 order, Fisher-Yates shuffles it (Spark's seeded `shuffle`) and numbers the rows on from the buckets before.
 The global position p gives shard p mod S and slot p div S, so row counts differ by one at most (law `rows`).
 
-Every bucket is one group of about `bucket_rows` rows whatever the keys: equal records are collapsed with a count
+Every bucket is one group of about `bucket_rows` digests whatever the keys and texts: equal records are collapsed with a count
 before the scatter and spread again by their copy number, so a record that fills a third of the table does not fill a bucket.
 Bucket, order within it, partition and seed depend on the rows and settings only; a lost executor's buckets come out the same.
 
@@ -17,30 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridspark.llm.common import scratch
+
 BUCKET_ROWS, SEED = 4096, 20240607
 
 
 def shuffled(records: DataFrame, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
-    """records with `position`, a random permutation of 0 .. n-1.  All columns identify a record; keep them narrow
-    (ids, sizes, digests) and join wide payloads afterwards, or pass them where they fit a bucket."""
+    """records with `position`, a random permutation of 0 .. n-1.  All columns identify a record; buckets hold digests of
+    records, and the records themselves are joined to their positions, whatever their size."""
     names = records.columns
     spark = records.sparkSession
+    key = F.unhex(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
+    keyed = records.withColumn("_key", key)
+    counted = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     n = records.count()
     buckets = max(1, -(-n // bucket_rows))
-    counted = records.groupBy(*names).agg(F.count("*").alias("_n"))
     each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.struct(*names), F.col("_copy")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "_key", "_copy"), F.lit(buckets)).cast("int")
     scattered = each.withColumn("_bucket", bucket)
     parts = max(min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-buckets // 64))
     packed = (
-        scattered.repartition(parts, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*names, "_copy"))).alias("_rows"))
+        scattered.repartition(parts, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_key", "_copy"))).alias("_rows"))
         .sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
     )
     sizes = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # one row a bucket
     rows = packed.join(offsets, "_bucket").select("_first", F.posexplode("_rows").alias("_at", "_row"))
-    return rows.select(*[F.col("_row").getField(c).alias(c) for c in names], (F.col("_first") + F.col("_at")).alias("position"))
+    positions = rows.select(F.col("_row._key").alias("_key"), (F.col("_first") + F.col("_at")).alias("position"))
+    return keyed.dropDuplicates(["_key"]).join(positions, "_key").select(*names, "position")
 
 
 def sharded(records: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
@@ -55,3 +60,10 @@ def _placed(rows: DataFrame, names: list[str], shards: int) -> DataFrame:
 def write_shards(placed: DataFrame, path: str, files: int) -> None:
     """Write rows in slot order under shard=k/, a shard over as many files as its size asks for."""
     placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def stored_shards(placed: DataFrame, files: int) -> DataFrame:
+    """placed, written as shards into the shared folder and read back."""
+    path = scratch(placed.sparkSession, "shards")
+    write_shards(placed, path, files)
+    return placed.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns)

@@ -433,6 +433,24 @@ def test_shards_on_disk(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 3
 
 
+def test_shuffled_shards_hold_whole_documents(spark, docs, empty, tmp_path):
+    from gridspark.llm.queries import op8_two_pass_shuffle
+    from gridspark.llm.sharding import sharded, stored_shards
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    back = stored_shards(sharded(docs, 7, bucket_rows=16), 4)
+    assert back.columns == [*docs.columns, "shard", "slot"] and Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    assert len({f.split("shard=")[1].split("/")[0] for f in back.inputFiles()}) == 7
+    out = op8_two_pass_shuffle(spark, str(tmp_path))
+    assert out.inputFiles() and all("shard=" in f for f in out.inputFiles())  # read from shards
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out.collect()) == want
+    plan = sharded(docs, 7, bucket_rows=16)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [x for x in plan.split("\n") if "collect_list" in x]
+    assert gathered and all("text" not in x for x in gathered)  # buckets hold digests
+    assert stored_shards(sharded(empty, 4), 4).count() == 0
+
+
 # ---- 9 ------------------------------------------------------------------------------------------
 
 
