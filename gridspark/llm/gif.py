@@ -280,11 +280,12 @@ def composed(width: int, height: int, frames: list[dict], pixels: list[np.ndarra
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
-    return ((rgb.astype(np.uint32) * np.array([299, 587, 114], np.uint32)).sum(axis=-1) // 1000).astype(np.uint8)
+    """Of samples with the channels first."""
+    return ((299 * rgb[0].astype(np.uint32) + 587 * rgb[1].astype(np.uint32) + 114 * rgb[2].astype(np.uint32)) // 1000).astype(np.uint8)
 
 
 def decode_many(files: list[bytes | None]) -> list[tuple | None]:
-    """(width, height, delays in ms, (frames, height, width) luma samples) of each file."""
+    """(width, height, delays in ms, (channels, frames, height, width) red, green and blue samples) of each file."""
     parsed = [parse(x) if x else None for x in files]
     groups: dict[tuple[int, int], list[dict]] = {}
     for p in parsed:
@@ -303,11 +304,11 @@ def decode_many(files: list[bytes | None]) -> list[tuple | None]:
         width, height, frames = p
         simple = frames and all(f["colours"] is frames[0]["colours"] and f["all"] is frames[0]["all"] and f["clear"] is None and f["disposal"] < 2 and not f["interlaced"] and (f["x"], f["y"], f["w"], f["h"]) == (0, 0, width, height) for f in frames)
         if simple and len(frames[0]["colours"] or b"") == 768:  # every frame replaces the whole picture
-            table = luma(np.frombuffer(frames[0]["colours"], np.uint8).reshape(-1, 3))
+            table = np.frombuffer(frames[0]["colours"], np.uint8).reshape(-1, 3).T
             a = frames[0]["at"]
-            samples = table[frames[0]["all"][a : a + len(frames)]].reshape(len(frames), height, width)
+            samples = table[:, frames[0]["all"][a : a + len(frames)]].reshape(3, len(frames), height, width)
         else:
-            samples = luma(composed(width, height, frames, [f["all"][f["at"]] for f in frames]))
+            samples = np.moveaxis(composed(width, height, frames, [f["all"][f["at"]] for f in frames]), 3, 0)
         out.append((width, height, [f["delay"] * 10 for f in frames], samples))
     return out
 
@@ -340,32 +341,42 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dela
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_bytes long, gif binary")
 
 
+def _binned(samples: np.ndarray) -> np.ndarray:
+    """(frames, BINS): for each frame of samples its pixels in each of BINS equal ranges."""
+    n = len(samples)
+    flat = (np.arange(n)[:, None] * BINS + (samples.reshape(n, -1).astype(np.int64) * BINS >> 8)).ravel() if samples.size else np.zeros(0, np.int64)
+    return np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
+
+
 def media_columns(media: DataFrame, gif_col: str = "gif") -> DataFrame:
-    """media with width, height, samples (all frames' luma, one after another), starts_ms, delays_ms and histograms
-    (for each frame the pixel counts of BINS equal luma ranges)."""
+    """media with width, height, red, green and blue (all frames' samples of a channel, one after another), starts_ms,
+    delays_ms and colour_histograms (for each frame the pixel counts of BINS equal ranges of red, then of green, then of blue);
+    samples and histograms are those of the frames' luma."""
     names = media.columns
+    made = ["width", "height", "samples", "starts_ms", "delays_ms", "histograms", "red", "green", "blue", "colour_histograms"]
 
     def work(batches):
         for batch in batches:
             sizes = pc_lengths(batch.column(gif_col))
             for lo, hi in _chunks(sizes):
                 part = batch.slice(lo, hi - lo)
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in made]
                 for d in decode_many(part.column(gif_col).to_pylist()):
                     if d is None:
-                        row = (None,) * 6
+                        row = (None,) * len(made)
                     else:
-                        w, h, delays, s = d
-                        n = len(delays)
-                        bins = np.bincount((np.arange(n)[:, None] * BINS + (s.reshape(n, -1).astype(np.int64) * BINS >> 8)).ravel(), minlength=n * BINS) if n and w * h else np.zeros(n * BINS, np.int64)
-                        row = (w, h, s.tobytes(), (np.cumsum([0, *delays])[:-1]).tolist(), delays, bins.reshape(n, BINS).tolist())
+                        w, h, delays, rgb = d
+                        grey = luma(rgb)
+                        channels = [x.tobytes() for x in rgb]
+                        row = (w, h, grey.tobytes(), (np.cumsum([0, *delays])[:-1]).tolist(), delays, _binned(grey).tolist(), *channels, np.concatenate([_binned(x) for x in rgb], axis=1).tolist())
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
-                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*names, "width", "height", "samples", "starts_ms", "delays_ms", "histograms"])
+                counts = pa.list_(pa.list_(pa.int32()))
+                types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), counts, pa.binary(), pa.binary(), pa.binary(), counts]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*names, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(work, schema + ", width int, height int, samples binary, starts_ms array<long>, delays_ms array<int>, histograms array<array<int>>")
+    return media.mapInArrow(work, schema + ", width int, height int, samples binary, starts_ms array<long>, delays_ms array<int>, histograms array<array<int>>, red binary, green binary, blue binary, colour_histograms array<array<int>>")
 
 
 def pc_lengths(column: pa.Array) -> np.ndarray:
@@ -375,7 +386,10 @@ def pc_lengths(column: pa.Array) -> np.ndarray:
 
 
 def timed_frames(columns: DataFrame, *keep: str) -> DataFrame:
-    """One row per frame: the kept columns, frame, start_ms, delay_ms, pixels, histogram."""
+    """One row per frame: the kept columns, frame, start_ms, delay_ms, pixels and histogram (luma), red, green, blue and
+    colour_histogram."""
     size = F.col("width") * F.col("height")
-    each = columns.select(*keep, "samples", "width", "height", F.posexplode(F.arrays_zip("starts_ms", "delays_ms", "histograms")).alias("frame", "x"))
-    return each.select(*keep, "frame", F.col("x.starts_ms").alias("start_ms"), F.col("x.delays_ms").alias("delay_ms"), F.substring("samples", F.col("frame") * size + 1, size).alias("pixels"), F.col("x.histograms").alias("histogram"))
+    planes = ("samples", "red", "green", "blue")
+    each = columns.select(*keep, *planes, "width", "height", F.posexplode(F.arrays_zip("starts_ms", "delays_ms", "histograms", "colour_histograms")).alias("frame", "x"))
+    pixels, red, green, blue = (F.substring(c, F.col("frame") * size + 1, size).alias("pixels" if c == "samples" else c) for c in planes)
+    return each.select(*keep, "frame", F.col("x.starts_ms").alias("start_ms"), F.col("x.delays_ms").alias("delay_ms"), pixels, F.col("x.histograms").alias("histogram"), red, green, blue, F.col("x.colour_histograms").alias("colour_histogram"))

@@ -27,9 +27,9 @@ def op3_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridspark.llm.gif import media_columns, stored
 
     media = media_columns(stored(table(spark, sf_dir, "documents")))
-    sums = F.aggregate("histograms", F.array_repeat(F.lit(0), 16), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    sums = F.aggregate("colour_histograms", F.array_repeat(F.lit(0), 16), lambda a, h: F.zip_with(a, F.slice(h, 1, 16), lambda x, y: x + y))  # red: the files are grey
     return media.select(
-        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        "doc_id", "n_bytes", F.octet_length("red").cast("long").alias("payload_bytes"), F.sha2("red", 256).alias("payload_sha256"), F.crc32(F.substring("red", -32, 32)).alias("tail_crc32"),
         F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), F.array_join(F.transform(sums, lambda x: x.cast("string")), ":").alias("feature"),
     )
 

@@ -174,6 +174,29 @@ def test_gif_rules():
     assert parse(b"not a gif") is None and decode_many([None, b"", b"GIF89a"]) == [None, None, None]
 
 
+def test_gif_colours(spark, docs):
+    from gridspark.llm.gif import lzw_codes, media_columns, pack_codes, stored, timed_frames
+
+    def file(colours, frames, flags=0xF7):
+        table = bytes(colours).ljust(768, b"\0")
+        out = b"GIF89a\2\0\1\0" + bytes([flags]) + b"\0\0" + table
+        for f, at in frames:
+            (data,) = pack_codes([lzw_codes(bytes(f))])
+            out += b"\x21\xf9\x04" + bytes([4, 5, 0, 0]) + b"\0\x2c" + bytes([at, 0, 0, 0, len(f), 0, 1, 0]) + b"\0\x08" + bytes([len(data)]) + data + b"\0"
+        return out + b";"
+
+    colours = [100, 0, 0, 0, 50, 5, 1, 2, 250]  # the first two of one luma
+    rows = [(1, file(colours, [([0, 0], 0), ([1, 1], 0)])), (2, file(colours, [([0, 2], 0), ([1], 1)])), (3, b"no gif"), (4, None)]
+    media = media_columns(spark.createDataFrame(rows, "doc_id long, gif binary"))
+    got = {(r["doc_id"], r["frame"]): r for r in timed_frames(media, "doc_id").collect()}
+    rgb = lambda k: list(zip(*(bytes(got[k][c]) for c in ("red", "green", "blue")), strict=True))
+    assert rgb((1, 0)) == [(100, 0, 0)] * 2 and rgb((1, 1)) == [(0, 50, 5)] * 2 and rgb((2, 0)) == [(100, 0, 0), (1, 2, 250)] and rgb((2, 1)) == [(100, 0, 0), (0, 50, 5)]
+    assert got[(1, 0)]["pixels"] == got[(1, 1)]["pixels"] and got[(1, 0)]["colour_histogram"] != got[(1, 1)]["colour_histogram"]
+    assert {i: n for i, n in enumerate(got[(2, 0)]["colour_histogram"]) if n} == {6: 1, 0: 1, 16: 2, 32: 1, 47: 1} and len(got) == 4
+    grey = media_columns(stored(docs)).where("red <> samples or green <> red or blue <> red")
+    assert grey.count() == 0
+
+
 # ---- 4 ------------------------------------------------------------------------------------------
 
 
