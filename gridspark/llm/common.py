@@ -21,10 +21,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that every executor sees (spark.checkpoint.dir); one of our own only where that is unset and the
+    executors are threads of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="gridspark-"))
     return _own_dir[0]
@@ -75,6 +78,16 @@ def _cleanup() -> None:
         shutil.rmtree(d, ignore_errors=True)
 
 
+def as_struct(df: DataFrame, **more) -> DataFrame:
+    """df's columns as the fields of one column, doc, beside more: so their names never clash with an operator's own."""
+    return df.select(F.struct("*").alias("doc"), *(c.alias(name) for name, c in more.items()))
+
+
+def with_field(doc: pa.StructArray, name: str, values: pa.Array) -> pa.StructArray:
+    """doc with other values of one field."""
+    return pa.StructArray.from_arrays([values if f.name == name else doc.field(f.name) for f in doc.type], fields=list(doc.type))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

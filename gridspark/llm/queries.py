@@ -55,9 +55,10 @@ def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridspark.llm.repeats import deduplicated
+    """Without 400-byte strings that stand elsewhere too; beside it the words of passages of over 50 words that do."""
+    from gridspark.llm.repeats import WORDS, deduplicated
 
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents"), counted=(WORDS,))
 
 
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

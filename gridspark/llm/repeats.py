@@ -1,23 +1,28 @@
-"""Suffix-array dedup by a run-length index: mark every byte under a string of `length` bytes that also starts elsewhere.
+"""Suffix-array dedup by a run-length index: mark every byte under a string of `length` units that also starts elsewhere.
 
-The index.  A bucket's byte windows, parted by a byte that UTF-8 never uses, get a suffix array; its Burrows-Wheeler
+Rules.  A rule names a unit and a length: BYTES are 400 bytes as they stand; WORDS are 51 words, each with one space behind it
+whatever white space a text has there, so that a passage of over 50 words is found where it is laid out anew, too.
+
+The index.  A bucket's windows, parted by a byte that UTF-8 never uses, get a suffix array; its Burrows-Wheeler
 transform is kept as runs with the suffix positions at both ends of each run.  These samples alone stream the
 matching statistics of the windows against all others: at a run's first suffix the longest common prefix with the suffix
 before it is measured, and from there on it shrinks by one per byte until the next sample (the same from run ends to the
-suffix after).  In repetitive windows there are few runs.  Starts whose statistic reaches `length` are marked.
+suffix after).  In repetitive windows there are few runs.  Starts whose statistic reaches their `length` units are marked.
 
-Which windows meet.  Every start of a `length`-byte string names the leftmost least fingerprint of the `gram`-byte strings
+Which windows meet.  Every start of a `length`-unit string names the leftmost least fingerprint of the `gram`-unit strings
 inside it, so equal strings name equal fingerprints (winnowing); starts that follow each other and name the same place form
 one window.  Windows are grouped by fingerprint; only groups with two windows or more can hold a repeat, and windows
 of equal bytes collapse to one that counts as repeated throughout.  So an exact or long copy costs one window however often it
 occurs.  Groups are spread over buckets of about `bucket_bytes`; a group with more than `crowd` different windows is split
-instead by the fingerprints of its `length`-byte strings, so no task gathers it.
+instead by the fingerprints of its `length`-unit strings, so no task gathers it.
 
-Byte positions never leave a text; whole copies of a text are settled by their digests.  Comparisons outside the index are of
-64-bit fingerprints and of MD5 digests.
+Positions never leave a text; whole copies of a text are settled by their digests.  Long texts are surveyed in parts of
+PART_BYTES that overlap by a string, so that vectors stay small.  Comparisons outside the index are of 64-bit fingerprints
+and of MD5 digests.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; repeated rows are copies of each
-other, so they are repeats; null ids are allowed; an empty table gives an empty result; extra columns are ignored.
+other, so they are repeats; null ids are allowed; an empty table gives an empty result; extra columns are ignored, and `cleaned`
+keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer
+from gridspark.llm.common import as_struct, discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer, with_field, word_bounds
 
-LENGTH, GRAM, BUCKET_BYTES, CROWD, PLACE_BITS = 400, 128, 1_000_000, 1000, 26
+#: Rules: (kind, length, gram), in units of the kind.
+BYTES, WORDS = ("bytes", 400, 128), ("words", 51, 20)
+BUCKET_BYTES, CROWD, PLACE_BITS, PART_BYTES = 1_000_000, 1000, 26, 1 << 23
 #: No part of a key holds more than this share of the rows that a join spreads; so at most as many keys are broadcast.
 SPREAD = 1000
 SEPARATOR = 255
@@ -41,41 +48,37 @@ SEPARATOR = 255
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling from 8-byte keys; each round sorts what is still tied only."""
+    """Suffix array by prefix tripling from 7-byte keys; each round sorts what is still tied only."""
     n = len(t)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = t.astype(np.uint64) + np.uint64(0)
+    symbols = np.zeros(n + 6, np.uint64)
+    symbols[:n] = t.astype(np.uint64) + np.uint64(1)  # 0 stands past the end
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    # ends: shorter suffixes sort first by their length among equal padded keys
-    sa = np.lexsort((-np.arange(n), key))
-    sorted_key = key[sa]
+    for i in range(7):
+        key = (key << np.uint64(9)) | symbols[i : i + n]
+    sa = np.argsort(key)
+    ordered = key[sa]
     head = np.ones(n, bool)
-    head[1:] = sorted_key[1:] != sorted_key[:-1]
-    short = sa > n - 8
-    head[short] = True
-    head[1:][short[:-1]] = True
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    k = 8
+    head[1:] = ordered[1:] != ordered[:-1]
+    rank = np.zeros(n + 1, np.uint64)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0)).astype(np.uint64)
+    k, parts = 7, 3 if n < (1 << 21) - 1 else 2  # as many ranks as fit 63 bits
+    shift = np.uint64(63 // parts)
     while not head.all():
         tied = ~head
         tied[:-1] |= ~head[1:]
         at = np.flatnonzero(tied)
         who = sa[at]
-        nxt = np.full(len(who), -1, np.int64)
-        inside = who + k < n
-        nxt[inside] = rank[who[inside] + k]
-        first = rank[who]
-        order = np.lexsort((nxt, first))
-        who, nxt, first = who[order], nxt[order], first[order]
+        key = rank[who]
+        for j in range(1, parts):
+            key = (key << shift) | rank[np.minimum(who + j * k, n)]
+        order = np.argsort(key)
+        who, key = who[order], key[order]
         sa[at] = who
         new = np.ones(len(at), bool)
-        new[1:] = (first[1:] != first[:-1]) | (nxt[1:] != nxt[:-1])
+        new[1:] = key[1:] != key[:-1]
         head[at] = new
-        rank[who] = np.maximum.accumulate(np.where(new, at, 0))
-        k *= 2
+        rank[who] = np.maximum.accumulate(np.where(new, at + 1, 0)).astype(np.uint64)
+        k *= parts
     return sa
 
 
@@ -118,33 +121,34 @@ class RunIndex:
         return out
 
 
-def repeats_in(windows: list[tuple], length: int) -> list[tuple]:
-    """windows: (h1, h2, lo, hi, bytes from lo to hi + length, known).  Runs (h1, h2, first, last) of repeated starts of
+def repeats_in(windows: list[tuple], kind: str, length: int) -> list[tuple]:
+    """windows: (h1, h2, lo, hi, bytes of the units lo to hi + length, known).  Runs (h1, h2, first, last) of repeated starts of
     windows that aren't known as repeated already."""
     windows.sort(key=lambda w: w[:3])
-    parts, spans, size, last = [], [], 0, None
+    parts, spans, size, text, last_lo, last_end, last_at, last_bounds = [], [], 0, None, 0, 0, 0, None
     for h1, h2, lo, hi, raw, known in windows:
-        if last is not None and last[0] == (h1, h2) and lo < last[2]:  # goes on where the window before does: one text
-            at = last[1] + lo - last[3]
-            if (more := hi + length - last[2]) > 0:
-                parts.append(raw[len(raw) - more :])
-                size += more
-                last[2] = hi + length
+        bounds = _bounds(raw, kind)
+        if text == (h1, h2) and lo < last_end:  # goes on where the window before does: one text
+            at = last_at + int(last_bounds[lo - last_lo])
+            more = raw[int(bounds[last_end - lo]) :] if hi + length > last_end else b""
         else:
             if parts:
                 parts.append(bytes([SEPARATOR]))
                 size += 1
-            at, last = size, [(h1, h2), size, hi + length, lo]
-            parts.append(raw)
-            size += len(raw)
-        spans.append((at, h1, h2, lo, hi, known))
+            at, more, last_end = size, raw, 0
+        parts.append(more)
+        size += len(more)
+        spans.append((at + bounds, h1, h2, lo, hi, known))
+        if hi + length > last_end:
+            text, last_lo, last_end, last_at, last_bounds = (h1, h2), lo, hi + length, at, bounds
     if len(spans) < 2:
         return []
-    long_ = RunIndex(np.frombuffer(b"".join(parts), np.uint8)).statistics() >= length
+    common = RunIndex(np.frombuffer(b"".join(parts), np.uint8)).statistics()
     out = []
-    for at, h1, h2, lo, hi, known in spans:
+    for bounds, h1, h2, lo, hi, known in spans:
         if not known:
-            edge = np.diff(np.concatenate([[0], long_[at : at + hi - lo + 1].astype(np.int8), [0]]))
+            starts = bounds[: hi - lo + 1]
+            edge = np.diff(np.concatenate([[0], (common[starts] >= bounds[length : length + len(starts)] - starts).astype(np.int8), [0]]))
             out += [(h1, h2, lo + a, lo + b - 1) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
     return out
 
@@ -152,34 +156,81 @@ def repeats_in(windows: list[tuple], length: int) -> list[tuple]:
 # ---- windows ------------------------------------------------------------------------------------
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(row, lo, hi, fingerprint, bytes' fingerprint) of the windows of texts that stand one after another."""
-    n, wide = len(data), length - gram + 1
+def _bounds(raw: bytes, kind: str) -> np.ndarray:
+    """Where the units of a window begin, and its end."""
+    if kind == "bytes":
+        return np.arange(len(raw) + 1)
+    return np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1)
+
+
+def units(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text that a rule compares, and where its units begin, with its end."""
+    if kind == "bytes":
+        return data, np.arange(len(data) + 1)
+    closed = np.append(data, np.uint8(32))
+    starts, ends = word_bounds(closed)
+    depth = np.zeros(len(closed) + 1, np.int8)
+    depth[starts] += 1
+    depth[ends + 1] -= 1  # a word and one byte behind it
+    text = closed[np.cumsum(depth[:-1]) > 0]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    text[bounds[1:] - 1] = 32
+    return text, bounds
+
+
+def windows_of(text: np.ndarray, bounds: np.ndarray, first_unit: np.ndarray, length: int, gram: int):
+    """(row, lo, hi, fingerprint, bytes' fingerprint) of the windows of rows whose units stand one after another."""
+    n, wide = len(bounds) - 1, length - gram + 1
     if n < length:
         return [np.zeros(0, np.int64)] * 5
-    prefix = prefix_hash(data)
+    prefix = prefix_hash(text)
     at = np.arange(n - gram + 1)
-    mark = span_hash(prefix, at, at + gram)
+    mark = span_hash(prefix, bounds[: n - gram + 1], bounds[gram:])
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = (mark & ~low) | (at.astype(np.uint64) & low)
+    least = (mark & ~low) | at.astype(np.uint64)
     s = 1
     while 2 * s <= wide:
         least = np.minimum(least[:-s], least[s:])
         s *= 2
     if wide > s:
         least = np.minimum(least[: -(wide - s)], least[wide - s :])
-    starts = np.arange(len(least))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    fine = starts + length <= offsets[row + 1]
-    place = starts + ((least - starts.astype(np.uint64)) & low).astype(np.int64)
+    starts = at[: len(least)]
+    row = np.searchsorted(first_unit, starts, side="right") - 1
+    fine = starts + length <= first_unit[row + 1]
+    place = (least & low).astype(np.int64)
     first = fine.copy()
     first[1:] &= (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~fine[:-1]
     lo = np.flatnonzero(first)
     after = fine.copy()
     after[:-1] &= (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~fine[1:]
     hi = np.flatnonzero(after)
-    base = offsets[row[lo]]
-    return row[lo], lo - base, hi - base, mark[place[lo]].view(np.int64), span_hash(prefix, lo, hi + length).view(np.int64)
+    base = first_unit[row[lo]]
+    return row[lo], lo - base, hi - base, mark[place[lo]].view(np.int64), span_hash(prefix, bounds[lo], bounds[hi + length]).view(np.int64)
+
+
+def survey_windows(data: np.ndarray, ends: np.ndarray, rules: tuple):
+    """(row, kind's number, lo, hi, m, w) of all rules, ordered by row, and the units of every row and rule."""
+    found, counts = [], []
+    for k, (kind, length, gram) in enumerate(rules):
+        salt = mix(np.array([k], np.uint64))[0]  # rules never meet
+        apart, first = data, ends
+        if kind == "words":  # words don't run on from row to row
+            sizes = np.diff(ends)
+            apart = np.full(len(data) + len(sizes), 32, np.uint8)
+            apart[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+            first = np.searchsorted(word_bounds(apart)[0], np.append(ends[:-1] + np.arange(len(sizes)), len(apart)))
+        text, bounds = units(apart, kind)
+        counts.append(np.diff(first))
+        step = PART_BYTES if len(first) == 2 else max(1, len(bounds))
+        for lo in range(0, max(1, len(bounds) - 1), step):  # a long text in parts
+            hi = min(len(bounds) - 1, lo + step + length - 1)
+            here = first if len(first) > 2 else np.array([0, hi - lo])
+            row, a, b, m, w = windows_of(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], here, length, gram)
+            shift = lo if len(first) == 2 else 0
+            found.append((row, np.full(len(row), k), a + shift, b + shift, (m.view(np.uint64) ^ salt).view(np.int64), w))
+    cols = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    return [c[order] for c in cols], counts
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -193,15 +244,15 @@ def digest_columns(text: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(d, i, 16), 16, -10).cast("long") for i in (1, 17))  # type: ignore[return-value]
 
 
-def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, h1, h2, n_bytes, sha, windows) of every row of docs (doc_id, text)."""
+def surveyed(docs: DataFrame, rules: tuple) -> DataFrame:
+    """(doc_id, h1, h2, n_bytes, n_units of each rule, sha, windows) of every row of docs (doc_id, text)."""
 
     def work(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, 1 << 19):
                 part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                row, lo, hi, m, w = windows_of(part, ends, length, gram)
+                (row, *cols), counts = survey_windows(part, ends, rules)
                 first = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 h1, h2, sha = [], [], []
                 for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -210,10 +261,11 @@ def surveyed(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     h1.append(x)
                     h2.append(y)
                     sha.append(hashlib.sha256(raw).hexdigest())
-                items = pa.StructArray.from_arrays([pa.array(x) for x in (lo.astype(np.int64), hi.astype(np.int64), m, w)], ["lo", "hi", "m", "w"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(np.diff(ends)), pa.array(sha), pa.ListArray.from_arrays(pa.array(first), items)], ["doc_id", "h1", "h2", "n_bytes", "sha", "windows"])
+                items = pa.StructArray.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, (np.int32, np.int64, np.int64, np.int64, np.int64), strict=True)], ["k", "lo", "hi", "m", "w"])
+                each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) * (b - a) + 1, len(counts), dtype=np.int32)), pa.array(np.array(counts, np.int64).T.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(np.diff(ends)), each, pa.array(sha), pa.ListArray.from_arrays(pa.array(first), items)], ["doc_id", "h1", "h2", "n_bytes", "n_units", "sha", "windows"])
 
-    return docs.mapInArrow(work, "doc_id long, h1 long, h2 long, n_bytes long, sha string, windows array<struct<lo:long,hi:long,m:long,w:long>>")
+    return docs.mapInArrow(work, "doc_id long, h1 long, h2 long, n_bytes long, n_units array<long>, sha string, windows array<struct<k:int,lo:long,hi:long,m:long,w:long>>")
 
 
 def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame:
@@ -228,25 +280,26 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame
     return dealt.join(copied, [on, "part"]).drop("part")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (survey, marks).
 
-    survey: doc_id, h1, h2, n_bytes, sha of each row, and whether the text has copies.
-    marks: h1, h2, runs (array of lo, hi): the repeated starts of texts without copies."""
-    survey = materialize(surveyed(docs, length, gram), "survey")
+    survey: doc_id, h1, h2, n_bytes, n_units, sha of each row, and whether the text has copies.
+    marks: h1, h2, runs (array of k, lo, hi): the repeated starts, in units of rule k, of texts without copies."""
+    survey = materialize(surveyed(docs, rules), "survey")
     texts = survey.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     each = survey.select("doc_id", "h1", "h2", F.explode("windows").alias("x")).select("doc_id", "h1", "h2", "x.*").withColumn("id", F.xxhash64("h1", "h2", "lo"))
     shared = materialize(each.groupBy("m").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.count("*").alias("rows")).where("i <> j").select("m", "rows"), "shared")
     row = F.xxhash64("doc_id", "id").alias("row")  # copies of a text differ by doc_id
-    live = materialize(spread_join(each.select("h1", "h2", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row", "rows"), "live")
-    discard(shared)
+    live = materialize(spread_join(each.select("h1", "h2", "k", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row", "rows"), "live")
     kinds = materialize(live.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j")), "kinds")
     crowds = materialize(kinds.groupBy("m").agg(F.count("*").alias("rows")), "crowds")
     counted = spread_join(kinds, crowds, "m", "w").select("m", "w", "i", (F.col("i") != F.col("j")).alias("known"), F.col("rows").alias("kinds"))
     told = materialize(live.join(counted, ["m", "w"]), "told")
-    discard(live, kinds, crowds)
-    todo = told.where("id = i and kinds > 1").dropDuplicates(["m", "id"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi", "m", "known", (F.col("kinds") > crowd).alias("crowded"))).alias("need"))
+    discard(shared, live, kinds, crowds)
+    todo = told.where("id = i and kinds > 1").dropDuplicates(["m", "id"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "lo", "hi", "m", "known", (F.col("kinds") > crowd).alias("crowded"))).alias("need"))
     need = todo.join(texts.drop("copies"), ["h1", "h2"]).select(F.col("doc_id").alias("rep"), "h1", "h2", "need")
+    names = [kind for kind, _, _ in rules]
+    lengths = [length for _, length, _ in rules]
 
     def cut_out(batches):
         for batch in batches:
@@ -254,113 +307,143 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
                 part = batch.slice(lo, 64)
                 out = []
                 for text, h1, h2, need in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    raw = (text or "").encode()
-                    if _digest(raw) == (h1, h2):  # else another row of the same id
-                        out += [(h1, h2, w["lo"], w["hi"], w["m"], w["known"], w["crowded"], raw[w["lo"] : w["hi"] + length]) for w in need]
-                names = ["h1", "h2", "lo", "hi", "m", "known", "crowded", "raw"]
-                types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                    raw = np.frombuffer((text or "").encode(), np.uint8)
+                    of = {k: units(raw, names[k]) for k in {w["k"] for w in need}}
+                    for w in need:
+                        chars, bounds = of[w["k"]]
+                        out.append((h1, h2, w["k"], w["lo"], w["hi"], w["m"], w["known"], w["crowded"], chars[bounds[w["lo"]] : bounds[w["hi"] + lengths[w["k"]]]].tobytes()))
+                types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["h1", "h2", "k", "lo", "hi", "m", "known", "crowded", "raw"])
 
-    joined = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("text", "h1", "h2", "need")
-    cut = materialize(joined.mapInArrow(cut_out, "h1 long, h2 long, lo long, hi long, m long, known boolean, crowded boolean, raw binary"), "windows")
+    a, b = digest_columns(F.col("text"))
+    named = docs.select("doc_id", "text", a.alias("d1"), b.alias("d2"))  # the digests part the rows of one id, null ids too
+    joined = named.join(need, named["doc_id"].eqNullSafe(need["rep"]) & (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2"))).select("text", "h1", "h2", "need")
+    cut = materialize(joined.mapInArrow(cut_out, "h1 long, h2 long, k int, lo long, hi long, m long, known boolean, crowded boolean, raw binary"), "windows")
 
     size = cut.where("not crowded").agg(F.sum(F.length("raw"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
 
     def search(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("h1", "h2", "lo", "hi", "raw", "known")), strict=True))
-        found = repeats_in(list({r[:3]: r for r in rows}.values()), length)
-        return pa.table([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], ["h1", "h2", "lo", "hi"])
+        rows = list({r[:4]: r for r in zip(*(t.column(c).to_pylist() for c in ("k", "h1", "h2", "lo", "hi", "raw", "known")), strict=True)}.values())
+        found = [(k, *r) for k in range(len(names)) for r in repeats_in([r[1:] for r in rows if r[0] == k], names[k], lengths[k])]
+        return pa.table([pa.array([r[i] for r in found], pa.int32() if not i else pa.int64()) for i in range(5)], ["k", "h1", "h2", "lo", "hi"])
 
     placed = cut.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
-    indexed = placed.groupBy("bucket").applyInArrow(search, "h1 long, h2 long, lo long, hi long")
+    indexed = placed.groupBy("bucket").applyInArrow(search, "k int, h1 long, h2 long, lo long, hi long")
 
     def starts(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256).to_pylist()
-                cols = [[] for _ in range(5)]
+                cols = [[] for _ in range(6)]
                 for r in rows:
-                    n = r["hi"] - r["lo"] + 1
-                    at = np.arange(n)
-                    for c, x in zip(cols, (np.full(n, r["h1"]), np.full(n, r["h2"]), at + r["lo"], span_hash(prefix_hash(np.frombuffer(r["raw"], np.uint8)), at, at + length).view(np.int64), np.full(n, r["known"])), strict=True):
+                    n, length = r["hi"] - r["lo"] + 1, lengths[r["k"]]
+                    at, bounds = np.arange(n), _bounds(r["raw"], names[r["k"]])
+                    marks = span_hash(prefix_hash(np.frombuffer(r["raw"], np.uint8)), bounds[at], bounds[at + length]) ^ mix(np.array([r["k"]], np.uint64))
+                    for c, x in zip(cols, (np.full(n, r["k"], np.int32), np.full(n, r["h1"]), np.full(n, r["h2"]), at + r["lo"], marks.view(np.int64), np.full(n, r["known"])), strict=True):
                         c.append(x)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h1", "h2", "lo", "g", "known"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["k", "h1", "h2", "lo", "g", "known"])
 
-    single = cut.where("crowded").mapInArrow(starts, "h1 long, h2 long, lo long, g long, known boolean").withColumn("id", F.xxhash64("h1", "h2", "lo"))
+    single = cut.where("crowded").mapInArrow(starts, "k int, h1 long, h2 long, lo long, g long, known boolean").withColumn("id", F.xxhash64("h1", "h2", "lo"))
     twice = single.groupBy("g").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i <> j").select("g")
-    split = single.where("not known").join(twice, "g").select("h1", "h2", "lo", F.col("lo").alias("hi"))
+    split = single.where("not known").join(twice, "g").select("k", "h1", "h2", "lo", F.col("lo").alias("hi"))
 
-    known = told.where("known").select("h1", "h2", "lo", "hi")
+    known = told.where("known").select("k", "h1", "h2", "lo", "hi")
     whole = texts.where("copies > 1").select("h1", "h2")
     runs = known.unionByName(indexed).unionByName(split).join(whole, ["h1", "h2"], "left_anti")
-    marks = materialize(runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs")), "marks")
+    marks = materialize(runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("k", "lo", "hi"))).alias("runs")), "marks")
     discard(told, cut)
     return survey.drop("windows").join(whole.withColumn("copied", F.lit(True)), ["h1", "h2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))), marks
 
 
-def kept_bytes(raw: bytes, runs, length: int) -> tuple[bytes, int, int]:
-    """What is left of raw without the bytes under the repeated starts; bytes and maximal runs removed."""
-    step = np.zeros(len(raw) + 1, np.int64)
+def kept_bytes(raw: bytes, runs, rules: tuple) -> tuple[bytes, int, int]:
+    """What is left of raw without the strings at the repeated starts; bytes and maximal runs removed."""
+    step, ends = np.zeros(len(raw) + 1, np.int64), None
     for r in runs:
-        step[r["lo"]] += 1
-        step[r["hi"] + length] -= 1
+        kind, length, _ = rules[r["k"]]
+        lo, hi = r["lo"], r["hi"] + length
+        if kind == "words":
+            if ends is None:
+                starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
+            lo, hi = starts[lo], ends[hi - 1]
+        step[lo] += 1
+        step[hi] -= 1
     gone = np.cumsum(step[:-1]) > 0
     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(raw) else 0
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def _cut_rows(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """rows (doc_id, text, runs) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]."""
+def _cut_rows(rows: DataFrame, rules: tuple, more: list[str]) -> DataFrame:
+    """rows (doc_id, text, runs, more) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, more; more are numbers."""
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                out = []
-                for r in batch.slice(lo, 256).to_pylist():
-                    raw = (r["text"] or "").encode()
-                    kept, removed, spans = kept_bytes(raw, r["runs"], length)
-                    out.append((r["doc_id"], len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-                cols = [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string()] * 2)]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays(cols if with_text else cols[:-1], names if with_text else names[:-1])
+                part, out = batch.slice(lo, 256), []
+                for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    raw = (text or "").encode()
+                    kept, removed, spans = kept_bytes(raw, runs, rules)
+                    out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
+                cols = [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, *(part.column(c) for c in more)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more])
+
+    return rows.select("doc_id", "text", "runs", *more).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {c} long" for c in more))
+
+
+def _covered(runs: Column, length: int) -> Column:
+    """Units under the strings at the starts of runs, which are in order."""
+    begin = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, r: F.struct(F.greatest(s["end"], r["hi"] + length).alias("end"), (s["n"] + F.greatest(r["hi"] + length - F.greatest(s["end"], r["lo"]), F.lit(0))).alias("n"))
+    return F.aggregate(runs, begin, step)["n"]
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: tuple = BYTES, counted: tuple = (), **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document, without the strings that `rule` finds.
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
+    counted: rules of which the units found are only counted, in one more column each, n_repeated_<kind>."""
+    rules = (rule, *counted)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey, marks = repeated_starts(base, length, gram, **options)
-    rows = materialize(survey.join(marks, ["h1", "h2"], "left"), "rows")
-    gone = F.col("copied") & (F.col("n_bytes") >= length)
-    easy = rows.where(F.col("runs").isNull()).select(
-        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256")
+    survey, marks = repeated_starts(base, rules, **options)
+    rows = survey.join(marks, ["h1", "h2"], "left")
+    of = lambda k: F.filter("runs", lambda r: r["k"] == k)
+    more = [f"n_repeated_{kind}" for kind, _, _ in counted]
+    extra = []
+    for k, (_, length, _) in enumerate(counted, 1):
+        all_ = F.when(F.col("n_units")[k] >= length, F.col("n_units")[k]).otherwise(0)
+        extra.append(F.when(F.col("copied"), all_).when(F.col("runs").isNotNull(), _covered(of(k), length)).otherwise(0).cast("long").alias(more[k - 1]))
+    gone = F.col("copied") & (F.col("n_bytes") >= rule[1])
+    some = F.col("runs").isNotNull() & (F.size(of(0)) > 0)
+    rows = materialize(rows.select("doc_id", "h1", "h2", "n_bytes", "sha", gone.alias("gone"), some.alias("some"), F.when(some, of(0)).alias("runs"), *extra), "rows")
+    easy = rows.where("not some").select(
+        "doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).alias("n_removed"), F.col("gone").cast("long").alias("n_spans"), F.when(F.col("gone"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"), *more
     )
-    hit = rows.where(F.col("runs").isNotNull()).select(F.col("doc_id").alias("rep"), "h1", "h2", "runs")  # texts without copies
-    texts = base.join(hit, base["doc_id"].eqNullSafe(hit["rep"]))
     a, b = digest_columns(F.col("text"))
-    return easy.unionByName(_cut_rows(texts.where((a == F.col("h1")) & (b == F.col("h2"))), length, False))
+    texts = base.select("doc_id", "text", a.alias("h1"), b.alias("h2")).join(rows.where("some").select("h1", "h2", "runs", *more), ["h1", "h2"])  # texts without copies
+    return easy.unionByName(_cut_rows(texts, rules, more))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **options) -> DataFrame:
-    """docs (doc_id, text, ...) with the repeated bytes taken out of text; rows left without text go."""
+def cleaned(docs: DataFrame, rules: tuple = (BYTES, WORDS), **options) -> DataFrame:
+    """docs (doc_id, text, ...) with the strings that any of the rules finds taken out of text.  A row that loses all but white
+    space goes; one that had no more before stays."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey, marks = repeated_starts(base, length, gram, **options)
+    survey, marks = repeated_starts(base, rules, **options)
+    all_gone = F.lit(False)
+    for k, (_, length, _) in enumerate(rules):
+        all_gone = all_gone | (F.col("n_units")[k] >= length)
+    whole = survey.where(F.col("copied") & all_gone).select("h1", "h2").distinct()
     a, b = digest_columns(F.col("text"))
-    whole = survey.where(F.col("copied") & (F.col("n_bytes") >= length)).select("h1", "h2").distinct()
-    rows = docs.withColumn("h1", a).withColumn("h2", b).join(whole, ["h1", "h2"], "left_anti").join(marks, ["h1", "h2"], "left")
-    names = docs.columns
+    rows = as_struct(docs, h1=a, h2=b).join(whole, ["h1", "h2"], "left_anti").join(marks, ["h1", "h2"], "left").select("doc", "runs")
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                runs = part.column("runs").to_pylist()
-                texts = part.column("text").to_pylist()
-                out = [t if r is None else kept_bytes(t.encode(), r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in names], names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*names, "runs").mapInArrow(work, schema).where("text is null or text <> ''")
+                doc, runs = batch.column(0).slice(lo, 256), batch.column(1).slice(lo, 256).to_pylist()
+                texts, sound, out = doc.field("text").to_pylist(), [], []
+                for t, r in zip(texts, runs, strict=True):
+                    kept = t if r is None else kept_bytes(t.encode(), r, rules)[0].decode("utf-8", "ignore")
+                    sound.append(r is None or bool(kept.strip()))
+                    out.append(kept)
+                yield pa.RecordBatch.from_arrays([with_field(doc, "text", pa.array(out, pa.string())).filter(pa.array(sound, pa.bool_()))], ["doc"])
+
+    return rows.mapInArrow(work, rows.select("doc").schema).select("doc.*")

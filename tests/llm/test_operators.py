@@ -4,6 +4,7 @@ extra columns."""
 import functools
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -387,7 +388,48 @@ def cut(rows, length):
 def test_repeats(docs, rows, length, gram, crowd):
     from gridspark.llm.repeats import deduplicated
 
-    assert Counter(tuple(r) for r in deduplicated(docs, length=length, gram=gram, crowd=crowd, bucket_bytes=20_000).collect()) == cut(rows, length)
+    assert Counter(tuple(r) for r in deduplicated(docs, rule=("bytes", length, gram), crowd=crowd, bucket_bytes=20_000).collect()) == cut(rows, length)
+
+
+def repeated_words(rows, length):
+    """For each row the places of its words under `length` words that also stand elsewhere."""
+    split = [[w for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode()) if w] for _, t in rows]
+    seen = Counter(tuple(w[j : j + length]) for w in split for j in range(len(w) - length + 1))
+    return [{j + k for j in range(len(w) - length + 1) if seen[tuple(w[j : j + length])] > 1 for k in range(length)} for w in split]
+
+
+@pytest.mark.parametrize("length, gram, crowd", [(51, 20, 1000), (12, 5, 1000), (12, 5, 1), (8, 8, 3)])
+def test_repeated_words(docs, rows, length, gram, crowd):
+    from gridspark.llm.repeats import cleaned, deduplicated
+
+    rule, rng = ("words", length, gram), random.Random(3)
+    words = prose(rng, 70).split()
+    odd = [*rows, (900, " ".join(words)), (901, "a  " + "\n".join(words) + "\tz"), (902, "x" + " ".join(words[:-1]) + words[-1] + "s"), (903, "é " * 60), (904, "\0 " * 60)]
+    df = documents(docs.sparkSession, odd)
+    want = repeated_words(odd, length)
+    got = deduplicated(df, counted=(rule,), crowd=crowd, bucket_bytes=20_000).collect()
+    assert Counter((r["doc_id"], r["n_repeated_words"]) for r in got) == Counter((i, len(x)) for (i, _), x in zip(odd, want, strict=True))
+    assert Counter(tuple(r)[:-1] for r in got) == cut(odd, 400)
+    left = {}
+    for (i, t), gone in zip(odd, want, strict=True):
+        kept = [w for k, w in enumerate(w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w) if k not in gone]
+        if kept or not gone:
+            left[i] = kept
+    assert {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in cleaned(df, (rule,), crowd=crowd).collect()} == left
+
+
+def test_long_texts_are_surveyed_in_parts(monkeypatch):
+    from gridspark.llm import repeats as R
+
+    rng = random.Random(5)
+    raw = np.frombuffer(prose(rng, 4000).encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    rules = (("bytes", 100, 32), ("words", 12, 5))
+    starts = lambda cols: {(int(k), x, int(m)) for k, lo, hi, m in zip(*cols[1:5], strict=True) for x in range(lo, hi + 1)}
+    whole, counts = R.survey_windows(raw, ends, rules)
+    monkeypatch.setattr(R, "PART_BYTES", 1000)
+    parts, same = R.survey_windows(raw, ends, rules)
+    assert starts(whole) == starts(parts) and len(parts[0]) > len(whole[0]) and [c.tolist() for c in counts] == [c.tolist() for c in same]
 
 
 def test_repeats_edges(spark, empty):
@@ -401,6 +443,8 @@ def test_repeats_edges(spark, empty):
     assert Counter(tuple(r) for r in deduplicated(df).collect()) == cut(rows, 400)
     left = {r["doc_id"]: r["text"] for r in cleaned(df).collect()}
     assert left[2] == "tail " and 1 not in left
+    kept = cleaned(documents(spark, [(4, ""), (5, None), (6, " \n"), (7, a), (8, a)])).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {4: "", 5: None, 6: " \n"}
 
 
 def test_spread_join(spark):
