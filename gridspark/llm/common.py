@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Word separators: space and tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -92,6 +93,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running(sums: DataFrame, by: list[str], at: str, value: str, name: str, block: int = 1024) -> DataFrame:
+    """(by, at, name): the sum of value over the rows of the same `by` and smaller `at` (a whole number, once each).
+
+    Sums run inside blocks of `at` and over the blocks, so a task orders a block's or all blocks' rows only."""
+    cells = sums.select(*by, at, value, F.expr(f"{at} div {block}").alias("_block"))
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = cells.withColumn("_in", before(Window.partitionBy(*by, "_block").orderBy(at)))
+    blocks = cells.groupBy(*by, "_block").agg(F.sum(value).alias(value))
+    outer = blocks.select(*by, "_block", before(Window.partitionBy(*by).orderBy("_block")).alias("_out"))
+    return inner.join(outer, [*by, "_block"]).select(*by, at, (F.col("_in") + F.col("_out")).cast("long").alias(name))
+
+
 def parts_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

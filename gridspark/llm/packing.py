@@ -9,8 +9,8 @@ length.  From there simplex steps with the same knapsack lead to the program's o
 Whole uses come from rounding down or up, best-fit decreasing adds what is left, and the plan of fewest sequences among these
 and plain best-fit decreasing is taken.  Where best fit alone meets total length / capacity, nothing can be better.
 
-Each piece's rank within its length (numbered in hash cells of bounded size) then finds its sequence and offset by a
-binary search in the plan, so nothing about single pieces passes the driver.
+Each piece's rank within its length (counted in its task, on from the tasks before) then finds its sequence and offset by
+a binary search in the plan, so nothing about single pieces passes the driver.
 
 Defined cases: null text is empty and still one piece (its end id); repeated rows and null ids are packed as rows of their
 own; an empty table gives an empty result; extra columns are ignored.
@@ -19,18 +19,17 @@ own; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridspark.llm.common import materialize
+from gridspark.llm.common import SPACES, ascii_lower, materialize, prefix_hash, running, slices, span_hash, text_buffer, word_bounds
 
-CAPACITY, END_ID, TOKENIZER, CELL_ROWS, ROUNDS, CACHE = 2048, 0, "word_bpe_49k.json", 4096, 800, 500_000
+CAPACITY, END_ID, TOKENIZER, ROUNDS, CACHE, SLAB_BYTES = 2048, 0, "word_bpe_49k.json", 800, 1_000_000, 1 << 20
 #: Of the covering program: accuracy aimed at, rows it has at most, and knapsacks solved at most (about).
 ACCURACY, GROUPS, STEPS = 0.01, 96, 6000
 
@@ -68,91 +67,148 @@ def _word_ends(path: str) -> np.ndarray:
     return out
 
 
-_kept: dict[str, dict[bytes, bytes]] = {}
-_PUNCTUATION = b".,;:!?|"
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?|")] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+_kept: dict[str, WordIds] = {}
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] numbers), then from first[1] on, and so forth."""
+    stop = np.cumsum(size)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - size), size)
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that never joins across white space: words are encoded once and kept.
+    """Ids of texts under a tokenizer that never joins across white space: parts of words are encoded once and kept.
 
     The vocabulary folds A-Z itself and drops white space, so words split at ASCII white space and with A-Z lowered give
-    the ids of the whole text.  Words of letters only are one pre-token each: many are encoded as one string and told apart
-    by the end-of-word ids; any other word is encoded alone, its last punctuation apart from the letters before it.
-    A worker keeps its words between tasks; it starts anew beyond `most`."""
+    the ids of the whole text; so do a word up to a last letter a-z and the punctuation behind it.  Parts of letters
+    only are one pre-token each: many are encoded as one string and told apart by the end-of-word ids; any other part is encoded
+    alone.  What is known lies in vectors, ordered by one fingerprint of the part's bytes and checked by another, and stays
+    between tasks; a worker starts anew beyond `most` parts."""
 
     def __init__(self, path: str, most: int = CACHE):
         self.tokenizer, self.plain, self.ends, self.most = _tokenizer(path), _plain(path), _word_ends(path), most
-        self.known = _kept.setdefault(path, {})
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, alone = {}, []
-        ascii_, letters = [w for w in words if w.isalpha()], [w for w in words if not w.isascii() and w.decode("utf-8", "replace").isalpha()]
-        for tokenizer, group in ((self.plain, ascii_), (self.tokenizer, letters)):
-            for lo in range(0, len(group), 2048):
-                part = group[lo : lo + 2048]
-                ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-                stop = 4 * np.flatnonzero(self.ends[ids]) + 4
-                if len(stop) != len(part):  # a word of more than one pre-token after all
-                    alone += part
-                    continue
-                raw, stop = ids.tobytes(), stop.tolist()
-                out.update(zip(part, [raw[x:y] for x, y in zip([0, *stop], stop)], strict=True))
-        taken = {*ascii_, *letters}
-        alone += [w for w in words if w not in taken]
-        for lo in range(0, len(alone), 4096):
-            part = alone[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of UTF-8 texts."""
-        split = [t.lower().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new, need, parts = set().union(*split) - known.keys(), set(), []
-        for w in new:
-            core = w.rstrip(_PUNCTUATION)
-            if core is not w and core[-1:].isalpha():
-                tail = w[len(core) :]
-                parts.append((w, core, tail))
-                need.add(core)
-                need.add(tail)
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _joined(self, tokenizer, text: str, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        return (np.diff(stop, prepend=0), ids) if len(stop) == parts else None  # else some part is more than one pre-token
+
+    def _encoded(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each part, all ids) of parts of data."""
+        small = np.append(0, np.cumsum(_SMALL[data]))
+        plain = np.flatnonzero(small[start + size] - small[start] == size)
+        other = np.setdiff1d(np.arange(len(start)), plain, assume_unique=True)
+        text = [data[a : a + n].tobytes() for a, n in zip(start[other].tolist(), size[other].tolist(), strict=True)]
+        words = [w.decode("utf-8", "replace") for w in text]
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        alone, counts, found = [i for i, w in enumerate(words) if not w.isalpha()], np.zeros(len(start), np.int64), []
+        for lo in range(0, len(plain), 4096):
+            at = plain[lo : lo + 4096]
+            long_ = size[at] + 1
+            joined = np.full(int(long_.sum()), 32, np.uint8)
+            joined[_spread(np.cumsum(long_) - long_, size[at])] = data[_spread(start[at], size[at])]
+            got = self._joined(self.plain, joined.tobytes().decode(), len(at))
+            if got is None:
+                raise ValueError("the vocabulary has words of small letters that it takes apart")
+            found.append((at, *got))
+        for lo in range(0, len(letters), 4096):
+            at = letters[lo : lo + 4096]
+            got = self._joined(self.tokenizer, " ".join(words[i] for i in at), len(at))
+            if got is None:
+                alone += at
             else:
-                need.add(w)
-        known.update(self._encode(list(need - known.keys())))
-        known.update([(w, known[core] + known[tail]) for w, core, tail in parts])
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
-
-
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, most_words: int = CACHE, copy_col: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids][, copy]): the pieces of every document."""
-    width = 6 if keep_ids else 5
+                found.append((other[at], *got))
+        for lo in range(0, len(alone), 4096):
+            at = alone[lo : lo + 4096]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in at], add_special_tokens=False)]
+            found.append((other[at], np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], "<u4")))
+        first, base = np.zeros(len(start), np.int64), 0
+        for at, n, ids in found:
+            counts[at], first[at] = n, base + np.cumsum(n) - n
+            base += len(ids)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(x for _, _, x in found)])
+        return counts, ids[_spread(first, counts)]
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's ids begin, with the end) of UTF-8 texts that stand one after another."""
+        n = len(offsets) - 1
+        low = np.full(len(data) + n, 32, np.uint8)  # a space behind every text
+        low[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = ascii_lower(data)
+        text_end = offsets[1:] + np.arange(1, n + 1)
+        start, stop = word_bounds(low)
+        cut = np.flatnonzero(_SMALL[low[:-1]] & _PUNCTUATION[low[1:]]) + 1
+        others = np.flatnonzero(~_PUNCTUATION[low])
+        cut = cut[np.isin(low[others[np.searchsorted(others, cut)]], list(SPACES))]
+        start, stop = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([stop, cut]))
+        prefix = prefix_hash(low)
+        key = span_hash(prefix, start, stop)
+        key, where, code = np.unique(key, return_index=True, return_inverse=True)
+        a, b = start[where], stop[where]
+        other = prefix_hash(low ^ np.uint8(0x5A))
+        check = span_hash(other, a, b)
+        if len(self.key) + len(key) > self.most:
+            self.forget()
+        slot = np.searchsorted(self.key, key)
+        near = np.minimum(slot, max(0, len(self.key) - 1))
+        have = (self.key[near] == key) & (self.check[near] == check) if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~have)
+        size, ids = self._encoded(low, a[new], b[new] - a[new])
+        table = np.concatenate([self.ids, ids])
+        first, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        first[have], count[have] = self.first[near[have]], self.size[near[have]]
+        first[new], count[new] = len(self.ids) + np.cumsum(size) - size, size
+        each = count[code]
+        out = table[_spread(first[code], each)]
+        begin = np.append(0, np.cumsum(each))[np.searchsorted(start, np.append(0, text_end))]
+        at = slot[new]
+        self.key, self.check = np.insert(self.key, at, key[new]), np.insert(self.check, at, check[new])
+        self.first, self.size, self.ids = np.insert(self.first, at, first[new]), np.insert(self.size, at, size), table
+        return out, begin
+
+
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, most_words: int = CACHE, copy_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids[, copy], _task, _nth): the pieces of every document; _nth counts a task's pieces of one length."""
 
     def work(batches):
-        words = WordIds(path, most_words)
+        task = TaskContext.get().partitionId()
+        if path not in _kept:
+            _kept[path] = WordIds(path)
+        words, seen = _kept[path], np.zeros(capacity + 1, np.int64)
+        words.most = most_words
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                cols: list[list] = [[] for _ in range(width)]
-                copies: list = []
-                for i, copy, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), words.of([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    copies.extend([copy] * -(-len(ids) // capacity))
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        raw = ids[at : at + capacity].tobytes()
-                        for c, x in zip(cols, (i, k, at, len(raw) // 4, zlib.crc32(raw), raw), strict=False):
-                            c.append(x)
-                arrays, names = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:width]
-                if copy_col:
-                    arrays, names = [*arrays, pa.array(copies, pa.int64())], [*names, "copy"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), copy.alias("copy"))
-    return rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", copy long" * bool(copy_col))
+            data, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices(offsets, SLAB_BYTES):
+                ids, begin = words.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                n, size = hi - lo, np.diff(begin) + 1
+                full = np.full(len(ids) + n, end_id, "<u4")
+                full[_spread(begin[:-1] + np.arange(n), size - 1)] = ids
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(n), pieces)
+                piece = _spread(np.zeros(n, np.int64), pieces)
+                length = np.minimum(capacity, size[row] - piece * capacity)
+                order = np.argsort(length, kind="stable")
+                same = length[order]
+                nth = np.empty(len(length), np.int64)
+                nth[order] = np.arange(len(order)) - np.searchsorted(same, same) + seen[same]
+                seen += np.bincount(length, minlength=capacity + 1)
+                ends = np.append(0, np.cumsum(length * 4)).astype(np.int32)
+                take = pa.array(row + lo)
+                cols = [batch.column(0).take(take), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(full)])]
+                cols += [c.take(take) for c in batch.columns[2:]] + [pa.array(np.full(len(length), task, np.int32)), pa.array(nth)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids", *["copy"] * bool(copy_col), "_task", "_nth"])
+
+    copy = [F.col(copy_col).cast("long").alias("copy")] if copy_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *copy)
+    return rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids binary" + ", copy long" * bool(copy_col) + ", _task int, _nth long")
 
 
 # ---- plan ---------------------------------------------------------------------------------------
@@ -363,18 +419,14 @@ class Places:
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset; pieces should be a written table."""
-    names = pieces.columns
-    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    total = sum(histogram.values())
-    cells = max(1, -(-total // CELL_ROWS))
-    key = ["doc_id", "piece", "ids_crc32", *(["copy"] if "copy" in names else [])]
-    with_cell = pieces.withColumn("_cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int"))
-    order = Window.partitionBy("length", "_cell").orderBy(*key)
-    sums = with_cell.groupBy("length", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = with_cell.withColumn("_r", F.row_number().over(order) - 1).join(base, ["length", "_cell"]).withColumn("_rank", (F.col("_base") + F.col("_r")).cast("long"))
+    """pieces (length, _task, _nth, ...) with sequence_id and offset for the last two; pieces should be a written table.
+
+    A piece's rank in its length is the number of that length's pieces in the tasks before plus its own number there."""
+    names = [c for c in pieces.columns if c not in ("_task", "_nth")]
+    sums = materialize(pieces.groupBy("length", "_task").agg(F.count("*").alias("_n")), "sums")
+    histogram = {int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    base = running(sums, ["length"], "_task", "_n", "_base")
+    ranked = pieces.join(base, ["length", "_task"]).select(*names, (F.col("_base") + F.col("_nth")).cast("long").alias("_rank"))
     places = Places(plan(histogram, capacity, rounds))
 
     def place(batches):
@@ -382,16 +434,20 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
             seq, offset = places.of(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_rank").mapInArrow(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema) + ", sequence_id long, offset long"
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, most_words: int = CACHE, copy_col: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids][, copy], sequence_id, offset): ids are little-endian 32-bit token ids,
-    copy is docs' number for rows of one id.  A worker keeps up to most_words encoded words."""
+    """(doc_id, piece, start, length, ids_crc32[, ids][, copy], sequence_id, offset).
+
+    The pieces' ids (little-endian, 32 bits) are written with them in any case, and the checksum is taken of what is
+    read back; with keep_ids they go along to the sequences.  copy is docs' number for rows of one id.  A worker keeps up to
+    most_words encoded parts of words."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    pieces = token_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids, most_words=most_words, copy_col=copy_col)
-    return packed(materialize(pieces, "pieces"), capacity)
+    pieces = materialize(token_pieces(docs, id_col, text_col, path, capacity, most_words=most_words, copy_col=copy_col), "pieces")
+    copy = ["copy"] * bool(copy_col)
+    return packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * keep_ids, *copy, "_task", "_nth"), capacity)
