@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import discard, materialize, table
+from gridspark.llm.common import as_struct, discard, materialize, table
 from gridspark.llm.langid import UNKNOWN, language_id
 from gridspark.llm.mixing import remixed
 from gridspark.llm.neardup import near_duplicates
@@ -20,8 +20,6 @@ from gridspark.llm.repeats import cleaned
 
 #: A text of which the best language explains less than this share of n-grams is in none of the learnt languages.
 LEAST_SCORE = 0.3
-#: Encoded words that a worker keeps: fewer than by default, as the stages before have filled its memory too.
-KEPT_WORDS = 250_000
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +29,17 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every group of near-duplicates."""
+    """The document of least id of every group of near-duplicates.  A row without id stays unless a row with an id, or an
+    earlier one without, has the same text."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    rows = as_struct(docs, doc_id=F.col("doc_id").cast("long"), digest=F.md5(F.encode("text", "UTF-8")))
+    named = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "digest"])
+    nameless = rows.where("doc_id is null").join(rows.where("doc_id is not null").select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    return named.select("doc").unionByName(nameless.select("doc")).select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere too."""
+    """Texts without the strings of 400 bytes and the passages of over 50 words that stand elsewhere too."""
     return _counted(cleaned(docs), docs)
 
 
@@ -51,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids, sequences and offsets; copy (from 1) tells apart the rows of one doc_id, such as epochs."""
     text = F.xxhash64("text")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    return pack_documents(docs.withColumn("copy", F.row_number().over(same)), keep_ids=True, most_words=KEPT_WORDS, copy_col="copy")
+    return pack_documents(docs.withColumn("copy", F.row_number().over(same)), keep_ids=True, copy_col="copy")
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
