@@ -62,12 +62,13 @@ def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents shuffled and written as shards; size and digest are those of the rows read back."""
-    from gridspark.llm.common import parts_for
-    from gridspark.llm.sharding import sharded, stored_shards
+    from gridspark.llm.sharding import free_name, sharded, stored_shards
 
-    back = stored_shards(sharded(table(spark, sf_dir, "documents"), 40), parts_for(spark, 40))
+    docs = table(spark, sf_dir, "documents")
+    shard, slot = (free_name(x, docs.columns) for x in ("shard", "slot"))
+    back = stored_shards(sharded(docs, 40), shard, slot)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return back.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return back.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -478,16 +478,16 @@ def test_sharding(spark, docs, empty):
 
     few = docs.select("doc_id", "text")
     few = few.unionByName(few.where("doc_id = 3").crossJoin(spark.range(300).select())).unionByName(spark.createDataFrame([(None, None)] * 5, "doc_id long, text string"))
-    out = sharded(few, 7, bucket_rows=16)
+    out = sharded(few, 7, bucket_bytes=2000)
     got = out.collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(tuple(r) for r in few.collect())
     slots = defaultdict(list)
     for r in got:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 7
-    again = sharded(few, 7, bucket_rows=16).collect()
+    again = sharded(few, 7, bucket_bytes=2000).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
-    assert sharded(few, 7, bucket_rows=16, seed=1).collect() != got
+    assert sharded(few, 7, bucket_bytes=2000, seed=1).collect() != got
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert sharded(empty.select("doc_id"), 4).count() == 0
@@ -496,7 +496,7 @@ def test_sharding(spark, docs, empty):
 def test_shards_on_disk(spark, docs, tmp_path):
     from gridspark.llm.sharding import sharded, write_shards
 
-    write_shards(sharded(docs.select("doc_id"), 3), str(tmp_path / "s"), 4)
+    write_shards(sharded(docs.select("doc_id"), 3), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 3
 
 
@@ -505,17 +505,19 @@ def test_shuffled_shards_hold_whole_documents(spark, docs, empty, tmp_path):
     from gridspark.llm.sharding import sharded, stored_shards
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    back = stored_shards(sharded(docs, 7, bucket_rows=16), 4)
+    back = stored_shards(sharded(docs, 7, bucket_bytes=2000))
     assert back.columns == [*docs.columns, "shard", "slot"] and Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
     assert len({f.split("shard=")[1].split("/")[0] for f in back.inputFiles()}) == 7
     out = op8_two_pass_shuffle(spark, str(tmp_path))
     assert out.inputFiles() and all("shard=" in f for f in out.inputFiles())  # read from shards
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out.collect()) == want
-    plan = sharded(docs, 7, bucket_rows=16)._jdf.queryExecution().optimizedPlan().toString()
-    gathered = [x for x in plan.split("\n") if "collect_list" in x]
-    assert gathered and all("text" not in x for x in gathered)  # buckets hold digests
-    assert stored_shards(sharded(empty, 4), 4).count() == 0
+    plan = sharded(docs, 7, bucket_bytes=2000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1  # texts move once
+    clash = docs.withColumns({"shard": F.lit("s"), "slot": F.lit(1), "position": F.lit(2), "doc": F.lit("d"), "h1": F.lit(None), "bucket": F.col("doc_id"), "m": F.create_map(F.lit("k"), F.col("doc_id"))})
+    got = sharded(clash, 7, bucket_bytes=2000)
+    assert got.columns == [*clash.columns, "shard_", "slot_"] and got.groupBy("shard_").count().count() == 7 and got.where("shard = 's' and h1 is null").count() == docs.count()
+    assert stored_shards(sharded(empty, 4)).count() == 0
 
 
 # ---- 9 ------------------------------------------------------------------------------------------
