@@ -8,6 +8,8 @@ least `floor` of the language's n-grams and `ratio` of the share that they have
 N-grams are trigrams of lower-cased letters with one mark for anything else at either side, hashed to `GRAM_BITS` bits;
 counts are tables of at most 2**GRAM_BITS numbers per language, summed over all labelled rows.
 
+At most MOST_LANGUAGES labels are learned; more raise an error (labels are then something else than languages).
+
 Defined cases: null text, or no letter: `und`, score 0.  Without anything learned every text is `und`.  Rows with null id or label teach
 nothing.  Ties go to the language first in order.  Repeated rows count as often as they come; extra columns are ignored;
 an empty table gives an empty result.
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import mix, slices, text_buffer
+from gridspark.llm.common import discard, materialize, mix, slices, text_buffer
 
 GRAM_BITS, PROBES, SLOTS_PER_GRAM, FLOOR, RATIO, UNKNOWN = 20, 3, 8, 2e-6, 0.15, "und"
+#: Labels that filters are made for; tables of counts that a task holds before it sends them on; bytes of the filters.
+MOST_LANGUAGES, TABLES, MOST_BYTES = 256, 16, 1 << 28
 
 
 @functools.lru_cache(maxsize=1)
@@ -59,6 +63,12 @@ def grams(column: pa.Array, bits: int = GRAM_BITS):
 def gram_counts(docs: DataFrame, text: Column, label: Column) -> DataFrame:
     """(lang, gram, n) over all rows whose label is not null."""
 
+    def sent(sums):
+        for name in list(sums):
+            x = sums.pop(name)
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(x[at])], ["lang", "gram", "n"])
+
     def work(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -68,9 +78,9 @@ def gram_counts(docs: DataFrame, text: Column, label: Column) -> DataFrame:
                 for i in np.unique(lang):
                     have = sums.setdefault(str(names[i]), np.zeros(1 << GRAM_BITS, np.int64))
                     have += np.bincount(g[lang == i], minlength=1 << GRAM_BITS)
-        for name, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(x[at])], ["lang", "gram", "n"])
+                    if len(sums) > TABLES:
+                        yield from sent(sums)
+        yield from sent(sums)
 
     each = docs.where(label.isNotNull() & text.isNotNull()).select(text.alias("text"), label.cast("string").alias("label")).mapInArrow(work, "lang string, gram long, n long")
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -119,13 +129,16 @@ class Filters:
 
 def learn(docs: DataFrame, text: Column, label: Column) -> Filters:
     """Filters from labelled rows.  The driver sees at most 2**GRAM_BITS n-grams a language."""
-    counts = gram_counts(docs, text, label).persist()
+    counts = materialize(gram_counts(docs, text, label), "grams")
     try:
-        share = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("p"))
+        sums = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+        if (labels := len(sums.limit(MOST_LANGUAGES + 1).collect())) > MOST_LANGUAGES:
+            raise ValueError(f"{labels} labels or more; filters are made for at most {MOST_LANGUAGES} languages")
+        share = counts.join(sums, "lang").select("lang", "gram", (F.col("n") / F.col("all")).alias("p"))
         top = share.groupBy("gram").agg(F.max("p").alias("top"))
         got = share.join(top, "gram").where((F.col("p") >= FLOOR) & (F.col("p") >= RATIO * F.col("top"))).select("lang", "gram").toArrow().to_pandas()
     finally:
-        counts.unpersist()
+        discard(counts)
     langs = sorted(got["lang"].unique())
     return Filters(langs, [got["gram"][got["lang"] == x].to_numpy() for x in langs])
 
@@ -135,22 +148,23 @@ def held_out(id_col: str) -> Column:
 
 
 def identified(docs: DataFrame, filters: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot, at most 2**(GRAM_BITS + 3) slots for 64 languages
-
-    name = text_col if text_col in keep else "_text"
+    """(doc, lang_pred, score): doc holds the columns `keep` as a struct, so no name clashes."""
+    if filters.slots.nbytes > MOST_BYTES:
+        raise ValueError(f"filters of {filters.slots.nbytes} bytes are too large to send to every worker")
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # at most MOST_BYTES
 
     def work(batches):
         for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
-            lang, score = sent.value.decide(batch.column(name))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            doc = batch.column(0)
+            lang, score = sent.value.decide(batch.column(1) if batch.num_columns > 1 else doc.field(text_col))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(lang, pa.string()), pa.array(score)], ["doc", "lang_pred", "score"])
 
-    cols = docs.select(*keep) if name == text_col else docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return cols.mapInArrow(work, schema)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in keep)).alias("doc"), *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(work, schema)
 
 
 def language_id(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from labelled rows that are not held out, then predict every row."""
+    """(doc, lang_pred, score): learn from labelled rows that are not held out, then predict every row; doc holds the columns `keep`."""
     learnable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
     return identified(docs, learn(learnable, F.col(text_col), F.col(lang_col)), keep, text_col)

@@ -7,7 +7,7 @@ slots and blocks then join by index.  Targets never exceed `most` times a source
 often than `most` times.  The last slot of a source takes only the words still missing.
 
 Window groups are (source, hash bucket) cells of bounded size, so a source with a third of all rows is split.
-The driver sees one row per source (size), which the mix's weights name anyway.  Everything hashes ids and seeds: reruns agree.
+The driver sees one row per source (size), as the mix's weights do; more than MOST_SOURCES raise an error.  Everything hashes ids and seeds: reruns agree.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, last in order;
 null ids and repeated rows are rows of their own; an empty table gives an empty result; extra columns are ignored.
@@ -19,15 +19,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import WORD_PATTERN, materialize, mix
+from gridspark.llm.common import WORD_PATTERN, as_struct, discard, materialize, mix, running, with_field
 
 _WORD = re.compile(WORD_PATTERN)
 
-WEIGHTS, RATIO, MOST, BLOCK_WORDS, SHARDS, CELL_ROWS, SEED = (3, 1, 2), 1.5, 2, 64, 64, 4096, 20240607
+WEIGHTS, RATIO, MOST, BLOCK_WORDS, SHARDS, CELL_ROWS, MOST_SOURCES, SEED = (3, 1, 2), 1.5, 2, 64, 64, 512, 100_000, 20240607
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, ratio: float = RATIO, most: float = MOST) -> list[float]:
@@ -79,16 +79,25 @@ def shard_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """h1, h2: two 64-bit hashes of a whole row, extra columns and all; a null counts by its place."""
+    cols = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.to_json(F.struct(f"`{f.name}`")) for f in docs.schema]
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    return [F.xxhash64(F.lit(i), *cols, *nulls).alias(h) for i, h in enumerate(("h1", "h2"))]
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, ratio: float = RATIO, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sources, takes).
 
-    documents: doc_id, source, text_hash, size, s (source number), start (place of its first word in its source).
+    documents: doc_id, source, h1, h2 (the row's key), size, s (source number), start (place of its first word in its source).
     sources: s, source, source_size, target.
     takes: s, start, shard, slot, epoch, lo, hi: the words lo .. hi of a document that a slot takes."""
     spark, size = docs.sparkSession, block_words
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("text_hash"), words.alias("size")), "sized")
-    stats = sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()  # one row a source
+    sized = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *row_key(docs), words.alias("size")), "sized")
+    stats = sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()  # one row a source
+    if len(stats) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["w"]) for r in stats]
     goal = targets(sizes, weights, ratio, most)
@@ -96,13 +105,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = sum(r["n"] for r in stats)
 
     cells = max(1, -(-rows // CELL_ROWS))
-    cell = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(cells)).cast("int")
-    known = sized.join(F.broadcast(sources.select("s", F.col("source").alias("of"))) if len(stats) <= 10_000 else sources.select("s", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("cell", cell)
-    order = Window.partitionBy("s", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.pmod(F.xxhash64(F.lit(seed), "h1", "h2"), F.lit(cells)).cast("int")
+    known = sized.join(F.broadcast(sources.select("s", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("cell", cell)  # MOST_SOURCES rows at most
+    order = Window.partitionBy("s", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "h1", "h2"), "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     inner = known.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = known.groupBy("s", "cell").agg(F.sum("size").alias("w")).select("s", "cell", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
-    placed = materialize(inner.join(sums, ["s", "cell"]).select("doc_id", "source", "text_hash", "size", "s", (F.col("base") + F.col("inner")).alias("start")), "placed")
+    sums = running(known.groupBy("s", "cell").agg(F.sum("size").alias("w")), ["s"], "cell", "w", "base")
+    placed = materialize(inner.join(sums, ["s", "cell"]).select("doc_id", "source", "h1", "h2", "size", "s", (F.col("base") + F.col("inner")).alias("start")), "placed")
+    discard(sized)
 
     whole = np.array([round(g) for g in goal], np.int64)
     blocks = np.array([-(-w // size) for w in sizes], np.int64)
@@ -176,18 +185,17 @@ def remixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: docs' columns, one row for each time (epoch) that the mix takes from a document, with the
     words taken.  A document taken whole keeps its text as it is; otherwise the runs of words taken stand on lines of their own."""
     placed, _, takes = mixed(docs, **options)
-    names = docs.columns
     runs = takes.groupBy("s", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
-    keyed = placed.where("size > 0").join(runs, ["s", "start"]).select(F.xxhash64("doc_id", "source", "text_hash").alias("rid"), "size", "runs")
-    texts = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "source", F.xxhash64("text"))).dropDuplicates(["rid"])
-    at = names.index("text")
+    keyed = placed.where("size > 0").join(runs, ["s", "start"]).select("h1", "h2", "size", "runs")
+    h1, h2 = row_key(docs)
+    texts = as_struct(docs, h1=h1, h2=h2).dropDuplicates(["h1", "h2"])
 
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = []
-                for text, size, runs in zip(*(part.column(c).to_pylist() for c in ("text", "size", "runs")), strict=True):
+                doc, out = part.column(0), []
+                for text, size, runs in zip(doc.field("text").to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     merged: list[list[int]] = []
                     for r in runs:
                         if merged and merged[-1][1] == r["lo"]:
@@ -198,9 +206,7 @@ def remixed(docs: DataFrame, **options) -> DataFrame:
                         spans = [m.span() for m in _WORD.finditer(text)]
                         text = "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
                     out.append(text)
-                cols = [part.column(c) for c in names]
-                cols[at] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_arrays([with_field(doc, "text", pa.array(out, pa.string()))], ["doc"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return texts.join(keyed, "rid").select(*names, "size", "runs").mapInArrow(cut, schema)
+    rows = texts.join(keyed, ["h1", "h2"]).select("doc", "size", "runs")
+    return rows.mapInArrow(cut, rows.select("doc").schema).select("doc.*")

@@ -50,7 +50,7 @@ def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridspark.llm.langid import held_out, language_id
 
     docs = table(spark, sf_dir, "documents")
-    return language_id(docs, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return language_id(docs, ["doc_id"]).select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,7 +354,7 @@ def test_language_id(spark, empty):
     rows = [(i, " ".join(rng.choice(vocab[x]) for _ in range(30)), x) for i, x in enumerate(["en", "fr"] * 60)]
     rows += [(500, None, "en"), (501, "", "fr"), (502, "123 !!", "en"), (None, "the and thing with", None), (503, "LES EAUX", None)]
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, score int")
-    got = {r["doc_id"]: r for r in language_id(df, ["doc_id"]).withColumn("h", held_out("doc_id")).collect()}
+    got = {r["doc_id"]: r for r in language_id(df, ["doc_id"]).select("doc.doc_id", held_out("doc.doc_id").alias("h"), "lang_pred", "score").collect()}
     assert all(got[i]["lang_pred"] == x for i, _, x in rows[:120]) and got[None]["lang_pred"] == "en" and got[503]["lang_pred"] == "fr"
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (500, 501, 502))
     assert all(0 <= r["score"] <= 1 for r in got.values()) and all(got[i]["h"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(120))
@@ -644,3 +644,34 @@ def test_null_and_repeated_rows_pass_the_pipeline(spark, tmp_path):
     rows = [(1, prose(rng, 60)), (None, prose(rng, 60)), (2, None), (3, prose(rng, 60))]
     documents(spark, [*rows, rows[0], rows[3]]).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} >= {1, 3}
+
+
+#: Every name that an operator of the pipeline uses for a column of its own.
+INNER = "doc row rows runs h1 h2 d1 d2 digest lang_pred score label gram n all top size s start cell source_size target taken slot shard epoch words lo hi block base inner w rid k m id need rep copied gone some sha n_bytes windows component kept n_shingles sketch vals v f comp c a b position first bucket task bytes copies again red green blue gif width height frame samples histograms ids piece length offset sequence_id _rank _task _nth _base".split()
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_pipeline_keeps_columns_of_any_name(spark, rows, tmp_path, step):
+    import corpus_pipeline as P
+
+    names = [x for x in INNER if x not in ("id", "v", "n")]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"of {x}").alias(x) for x in names))
+    name, stage = P.STAGES[step]
+    out = stage(spark, docs, str(tmp_path))
+    if step == 4:
+        assert out.count() > 0
+        return
+    assert out.columns == docs.columns, name
+    got = out.collect()
+    assert got and all(r[x] == f"of {x}" for r in got for x in names), name
+
+
+def test_a_copy_without_id_goes_with_near_duplicates(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    a, b = prose(rng, 100), prose(rng, 100)
+    docs = documents(spark, [(1, a), (None, a), (None, b), (None, b), (None, None), (2, "")])
+    kept = P.keep_one_of_each_group(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (None, b), (None, None), (2, "")])
+    assert {r["text"] for r in P.cut_repeats(spark, kept, str(tmp_path)).collect()} >= {a, b}
