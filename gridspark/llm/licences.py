@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 #: A line that names a holder: "Copyright" with a sign, year, "by" or a placeholder; or the sign with a year.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by |<|\[)|(?:\(c\)|©)[ \t]*[0-9]{4}|all rights reserved\.?[ \t]*(?![^\n]))[^\n]*"
-#: The pattern of the registered SQL, whose engine can't look ahead: it takes the line after "all rights reserved" too.
-SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by |<|\[)|(?:\(c\)|©)[ \t]*[0-9]{4}|all rights reserved\.?[ \t]*(?:\n|$))[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 # fixed values: words with two spellings in licences, and the one kept
 SPELLINGS = (

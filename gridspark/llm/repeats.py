@@ -13,8 +13,9 @@ Which windows meet.  Every start of a `length`-unit string names the leftmost le
 inside it, so equal strings name equal fingerprints (winnowing); starts that follow each other and name the same place form
 one window.  Windows are grouped by fingerprint; only groups with two windows or more can hold a repeat, and windows
 of equal bytes collapse to one that counts as repeated throughout.  So an exact or long copy costs one window however often it
-occurs.  Groups are spread over buckets of about `bucket_bytes`; a group with more than `crowd` different windows is split
-instead by the fingerprints of its `length`-unit strings, so no task gathers it.
+occurs.  Groups are spread over buckets of about `bucket_bytes`.  The windows of a group with more than `crowd` different ones
+are first parted, PARTS times each, by the core that all strings of a part share, again and again until no group is larger; at the
+last a part is one string.  So no task gathers a frequent fingerprint.
 
 Positions never leave a text; whole copies of a text are settled by their digests.  Long texts are surveyed in parts of
 PART_BYTES that overlap by a string, so that vectors stay small.  Comparisons outside the index are of 64-bit fingerprints
@@ -27,6 +28,7 @@ keeps them, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -38,7 +40,7 @@ from gridspark.llm.common import as_struct, discard, materialize, mix, prefix_ha
 
 #: Rules: (kind, length, gram), in units of the kind.
 BYTES, WORDS = ("bytes", 400, 128), ("words", 51, 20)
-BUCKET_BYTES, CROWD, PLACE_BITS, PART_BYTES = 1_000_000, 1000, 26, 1 << 23
+BUCKET_BYTES, CROWD, PARTS, PLACE_BITS, PART_BYTES = 1_000_000, 1000, 5, 26, 1 << 23
 #: No part of a key holds more than this share of the rows that a join spreads; so at most as many keys are broadcast.
 SPREAD = 1000
 SEPARATOR = 255
@@ -125,6 +127,7 @@ def repeats_in(windows: list[tuple], kind: str, length: int) -> list[tuple]:
     """windows: (h1, h2, lo, hi, bytes of the units lo to hi + length, known).  Runs (h1, h2, first, last) of repeated starts of
     windows that aren't known as repeated already."""
     windows.sort(key=lambda w: w[:3])
+    lead = b" " if kind == "words" else b""  # with it, a match begins where a word does
     parts, spans, size, text, last_lo, last_end, last_at, last_bounds = [], [], 0, None, 0, 0, 0, None
     for h1, h2, lo, hi, raw, known in windows:
         bounds = _bounds(raw, kind)
@@ -135,7 +138,7 @@ def repeats_in(windows: list[tuple], kind: str, length: int) -> list[tuple]:
             if parts:
                 parts.append(bytes([SEPARATOR]))
                 size += 1
-            at, more, last_end = size, raw, 0
+            at, more, last_end = size + len(lead), lead + raw, 0
         parts.append(more)
         size += len(more)
         spans.append((at + bounds, h1, h2, lo, hi, known))
@@ -148,7 +151,7 @@ def repeats_in(windows: list[tuple], kind: str, length: int) -> list[tuple]:
     for bounds, h1, h2, lo, hi, known in spans:
         if not known:
             starts = bounds[: hi - lo + 1]
-            edge = np.diff(np.concatenate([[0], (common[starts] >= bounds[length : length + len(starts)] - starts).astype(np.int8), [0]]))
+            edge = np.diff(np.concatenate([[0], (common[starts - len(lead)] >= bounds[length : length + len(starts)] - starts + len(lead)).astype(np.int8), [0]]))
             out += [(h1, h2, lo + a, lo + b - 1) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
     return out
 
@@ -179,10 +182,10 @@ def units(data: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_of(text: np.ndarray, bounds: np.ndarray, first_unit: np.ndarray, length: int, gram: int):
-    """(row, lo, hi, fingerprint, bytes' fingerprint) of the windows of rows whose units stand one after another."""
+    """(row, lo, hi, place named, fingerprint, bytes' fingerprint) of the windows of rows whose units stand one after another."""
     n, wide = len(bounds) - 1, length - gram + 1
     if n < length:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 6
     prefix = prefix_hash(text)
     at = np.arange(n - gram + 1)
     mark = span_hash(prefix, bounds[: n - gram + 1], bounds[gram:])
@@ -205,11 +208,11 @@ def windows_of(text: np.ndarray, bounds: np.ndarray, first_unit: np.ndarray, len
     after[:-1] &= (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~fine[1:]
     hi = np.flatnonzero(after)
     base = first_unit[row[lo]]
-    return row[lo], lo - base, hi - base, mark[place[lo]].view(np.int64), span_hash(prefix, bounds[lo], bounds[hi + length]).view(np.int64)
+    return row[lo], lo - base, hi - base, place[lo] - base, mark[place[lo]].view(np.int64), span_hash(prefix, bounds[lo], bounds[hi + length]).view(np.int64)
 
 
 def survey_windows(data: np.ndarray, ends: np.ndarray, rules: tuple):
-    """(row, kind's number, lo, hi, m, w) of all rules, ordered by row, and the units of every row and rule."""
+    """(row, kind's number, lo, hi, p, m, w) of all rules, ordered by row, and the units of every row and rule."""
     found, counts = [], []
     for k, (kind, length, gram) in enumerate(rules):
         salt = mix(np.array([k], np.uint64))[0]  # rules never meet
@@ -225,9 +228,9 @@ def survey_windows(data: np.ndarray, ends: np.ndarray, rules: tuple):
         for lo in range(0, max(1, len(bounds) - 1), step):  # a long text in parts
             hi = min(len(bounds) - 1, lo + step + length - 1)
             here = first if len(first) > 2 else np.array([0, hi - lo])
-            row, a, b, m, w = windows_of(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], here, length, gram)
+            row, a, b, p, m, w = windows_of(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], here, length, gram)
             shift = lo if len(first) == 2 else 0
-            found.append((row, np.full(len(row), k), a + shift, b + shift, (m.view(np.uint64) ^ salt).view(np.int64), w))
+            found.append((row, np.full(len(row), k), a + shift, b + shift, p + shift, (m.view(np.uint64) ^ salt).view(np.int64), w))
     cols = [np.concatenate(x) for x in zip(*found, strict=True)]
     order = np.argsort(cols[0], kind="stable")
     return [c[order] for c in cols], counts
@@ -261,11 +264,11 @@ def surveyed(docs: DataFrame, rules: tuple) -> DataFrame:
                     h1.append(x)
                     h2.append(y)
                     sha.append(hashlib.sha256(raw).hexdigest())
-                items = pa.StructArray.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, (np.int32, np.int64, np.int64, np.int64, np.int64), strict=True)], ["k", "lo", "hi", "m", "w"])
+                items = pa.StructArray.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, (np.int32, *[np.int64] * 5), strict=True)], ["k", "lo", "hi", "p", "m", "w"])
                 each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) * (b - a) + 1, len(counts), dtype=np.int32)), pa.array(np.array(counts, np.int64).T.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(np.diff(ends)), each, pa.array(sha), pa.ListArray.from_arrays(pa.array(first), items)], ["doc_id", "h1", "h2", "n_bytes", "n_units", "sha", "windows"])
 
-    return docs.mapInArrow(work, "doc_id long, h1 long, h2 long, n_bytes long, n_units array<long>, sha string, windows array<struct<k:int,lo:long,hi:long,m:long,w:long>>")
+    return docs.mapInArrow(work, "doc_id long, h1 long, h2 long, n_bytes long, n_units array<long>, sha string, windows array<struct<k:int,lo:long,hi:long,p:long,m:long,w:long>>")
 
 
 def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame:
@@ -280,6 +283,36 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, by: str) -> DataFrame
     return dealt.join(copied, [on, "part"]).drop("part")
 
 
+def parted(windows: DataFrame, rules: tuple, widths: list[int]) -> DataFrame:
+    """Windows cut into those of starts that stand at most `width` units apart, counted back from the place they name.
+
+    All strings at such starts hold one core, from the last start to the end of the first one's string, so strings can be equal
+    only where cores are: m becomes the core's fingerprint."""
+
+    def work(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(lo, 256).to_pylist():
+                    kind, length, _ = rules[r["k"]]
+                    width, raw, first = widths[r["k"]], r["raw"], r["lo"]
+                    bounds = _bounds(raw, kind)
+                    prefix = prefix_hash(np.frombuffer(raw, np.uint8))
+                    j = np.arange((r["p"] - r["hi"]) // width, (r["p"] - first) // width + 1)
+                    last = r["p"] - j * width  # the starts of part j are last - width + 1 .. last
+                    a, b = np.maximum(last - width + 1, first), np.minimum(last, r["hi"])
+                    core = span_hash(prefix, bounds[last - first], bounds[last - width + 1 + length - first])
+                    m = mix(core ^ mix(np.array([r["m"]], np.int64).view(np.uint64) + j.astype(np.uint64))).view(np.int64)
+                    w = span_hash(prefix, bounds[a - first], bounds[b + length - first]).view(np.int64)
+                    cut = [raw[x:y] for x, y in zip(bounds[a - first].tolist(), bounds[b + length - first].tolist(), strict=True)]
+                    out += [(r["h1"], r["h2"], r["k"], x, y, r["p"], z, v, r["known"], c) for x, y, z, v, c in zip(a.tolist(), b.tolist(), m.tolist(), w.tolist(), cut, strict=True)]
+                types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["h1", "h2", "k", "lo", "hi", "p", "m", "w", "known", "raw"])
+
+    parts = windows.select("h1", "h2", "k", "lo", "hi", "p", "m", "known", "raw").mapInArrow(work, "h1 long, h2 long, k int, lo long, hi long, p long, m long, w long, known boolean, raw binary")
+    return parts.withColumn("id", F.xxhash64("h1", "h2", "lo"))
+
+
 def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (survey, marks).
 
@@ -290,13 +323,13 @@ def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_by
     each = survey.select("doc_id", "h1", "h2", F.explode("windows").alias("x")).select("doc_id", "h1", "h2", "x.*").withColumn("id", F.xxhash64("h1", "h2", "lo"))
     shared = materialize(each.groupBy("m").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.count("*").alias("rows")).where("i <> j").select("m", "rows"), "shared")
     row = F.xxhash64("doc_id", "id").alias("row")  # copies of a text differ by doc_id
-    live = materialize(spread_join(each.select("h1", "h2", "k", "lo", "hi", "m", "w", "id", row), shared, "m", "row").drop("row", "rows"), "live")
+    live = materialize(spread_join(each.select("h1", "h2", "k", "lo", "hi", "p", "m", "w", "id", row), shared, "m", "row").drop("row", "rows"), "live")
     kinds = materialize(live.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j")), "kinds")
     crowds = materialize(kinds.groupBy("m").agg(F.count("*").alias("rows")), "crowds")
     counted = spread_join(kinds, crowds, "m", "w").select("m", "w", "i", (F.col("i") != F.col("j")).alias("known"), F.col("rows").alias("kinds"))
     told = materialize(live.join(counted, ["m", "w"]), "told")
     discard(shared, live, kinds, crowds)
-    todo = told.where("id = i and kinds > 1").dropDuplicates(["m", "id"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "lo", "hi", "m", "known", (F.col("kinds") > crowd).alias("crowded"))).alias("need"))
+    todo = told.where("id = i and kinds > 1").dropDuplicates(["m", "id"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "lo", "hi", "p", "m", "known", (F.col("kinds") > crowd).alias("crowded"))).alias("need"))
     need = todo.join(texts.drop("copies"), ["h1", "h2"]).select(F.col("doc_id").alias("rep"), "h1", "h2", "need")
     names = [kind for kind, _, _ in rules]
     lengths = [length for _, length, _ in rules]
@@ -311,16 +344,31 @@ def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_by
                     of = {k: units(raw, names[k]) for k in {w["k"] for w in need}}
                     for w in need:
                         chars, bounds = of[w["k"]]
-                        out.append((h1, h2, w["k"], w["lo"], w["hi"], w["m"], w["known"], w["crowded"], chars[bounds[w["lo"]] : bounds[w["hi"] + lengths[w["k"]]]].tobytes()))
-                types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["h1", "h2", "k", "lo", "hi", "m", "known", "crowded", "raw"])
+                        out.append((h1, h2, w["k"], w["lo"], w["hi"], w["p"], w["m"], w["known"], w["crowded"], chars[bounds[w["lo"]] : bounds[w["hi"] + lengths[w["k"]]]].tobytes()))
+                types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["h1", "h2", "k", "lo", "hi", "p", "m", "known", "crowded", "raw"])
 
     a, b = digest_columns(F.col("text"))
     named = docs.select("doc_id", "text", a.alias("d1"), b.alias("d2"))  # the digests part the rows of one id, null ids too
     joined = named.join(need, named["doc_id"].eqNullSafe(need["rep"]) & (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2"))).select("text", "h1", "h2", "need")
-    cut = materialize(joined.mapInArrow(cut_out, "h1 long, h2 long, k int, lo long, hi long, m long, known boolean, crowded boolean, raw binary"), "windows")
-
-    size = cut.where("not crowded").agg(F.sum(F.length("raw"))).first()[0] or 0
+    cut = materialize(joined.mapInArrow(cut_out, "h1 long, h2 long, k int, lo long, hi long, p long, m long, known boolean, crowded boolean, raw binary"), "windows")
+
+    few, pending, twins = [cut.where("not crowded")], cut.where("crowded"), []
+    widths, made = [length - gram + 1 for _, length, gram in rules], []
+    while not pending.isEmpty():  # at width 1 equal strings are all that is left together
+        widths = [-(-x // PARTS) for x in widths]
+        parts = materialize(parted(pending, rules, widths), "parts")
+        kinds = materialize(parts.groupBy("m", "w").agg(F.min("id").alias("i"), F.max("id").alias("j")), "kinds")
+        crowds = materialize(kinds.groupBy("m").agg(F.count("*").alias("rows")), "crowds")
+        counted = spread_join(kinds, crowds, "m", "w").select("m", "w", "i", (F.col("i") != F.col("j")).alias("twin"), F.col("rows").alias("kinds"))
+        found = materialize(parts.join(counted, ["m", "w"]).where("twin or kinds > 1").select("h1", "h2", "k", "lo", "hi", "p", "m", (F.col("known") | F.col("twin")).alias("known"), F.expr("twin and not known").alias("new"), F.expr("id = i and kinds > 1").alias("rep"), (F.col("kinds") > crowd).alias("crowded"), F.when(F.expr("id = i and kinds > 1"), F.col("raw")).alias("raw")), "found")
+        discard(parts, kinds, crowds)
+        made.append(found)
+        twins.append(found.where("new").select("k", "h1", "h2", "lo", "hi"))
+        few.append(found.where("rep and not crowded").select(*cut.columns))
+        pending = found.where("rep and crowded").select(*cut.columns)
+    cuts = functools.reduce(DataFrame.unionByName, few)
+    size = cuts.agg(F.sum(F.length("raw"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
 
     def search(t: pa.Table) -> pa.Table:
@@ -328,32 +376,14 @@ def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_by
         found = [(k, *r) for k in range(len(names)) for r in repeats_in([r[1:] for r in rows if r[0] == k], names[k], lengths[k])]
         return pa.table([pa.array([r[i] for r in found], pa.int32() if not i else pa.int64()) for i in range(5)], ["k", "h1", "h2", "lo", "hi"])
 
-    placed = cut.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
+    placed = cuts.withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
     indexed = placed.groupBy("bucket").applyInArrow(search, "k int, h1 long, h2 long, lo long, hi long")
 
-    def starts(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256).to_pylist()
-                cols = [[] for _ in range(6)]
-                for r in rows:
-                    n, length = r["hi"] - r["lo"] + 1, lengths[r["k"]]
-                    at, bounds = np.arange(n), _bounds(r["raw"], names[r["k"]])
-                    marks = span_hash(prefix_hash(np.frombuffer(r["raw"], np.uint8)), bounds[at], bounds[at + length]) ^ mix(np.array([r["k"]], np.uint64))
-                    for c, x in zip(cols, (np.full(n, r["k"], np.int32), np.full(n, r["h1"]), np.full(n, r["h2"]), at + r["lo"], marks.view(np.int64), np.full(n, r["known"])), strict=True):
-                        c.append(x)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["k", "h1", "h2", "lo", "g", "known"])
-
-    single = cut.where("crowded").mapInArrow(starts, "k int, h1 long, h2 long, lo long, g long, known boolean").withColumn("id", F.xxhash64("h1", "h2", "lo"))
-    twice = single.groupBy("g").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i <> j").select("g")
-    split = single.where("not known").join(twice, "g").select("k", "h1", "h2", "lo", F.col("lo").alias("hi"))
-
     known = told.where("known").select("k", "h1", "h2", "lo", "hi")
     whole = texts.where("copies > 1").select("h1", "h2")
-    runs = known.unionByName(indexed).unionByName(split).join(whole, ["h1", "h2"], "left_anti")
+    runs = functools.reduce(DataFrame.unionByName, [known, indexed, *twins]).join(whole, ["h1", "h2"], "left_anti")
     marks = materialize(runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("k", "lo", "hi"))).alias("runs")), "marks")
-    discard(told, cut)
+    discard(told, cut, *made)
     return survey.drop("windows").join(whole.withColumn("copied", F.lit(True)), ["h1", "h2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))), marks
 
 

@@ -405,6 +405,8 @@ def test_repeated_words(docs, rows, length, gram, crowd):
     rule, rng = ("words", length, gram), random.Random(3)
     words = prose(rng, 70).split()
     odd = [*rows, (900, " ".join(words)), (901, "a  " + "\n".join(words) + "\tz"), (902, "x" + " ".join(words[:-1]) + words[-1] + "s"), (903, "é " * 60), (904, "\0 " * 60)]
+    inner = prose(rng, 60)
+    odd += [(905, inner), (906, "x" + inner), (907, inner + "x")]  # the first word of 905 begins inside one of 906
     df = documents(docs.sparkSession, odd)
     want = repeated_words(odd, length)
     got = deduplicated(df, counted=(rule,), crowd=crowd, bucket_bytes=20_000).collect()
