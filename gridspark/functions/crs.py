@@ -1,20 +1,38 @@
 """Coordinate reference systems: EPSG codes and PROJ strings to projection specifications.  Driver-side only.
 
-WGS84 and GRS80 geodetic coordinates count as equal (no datum shift), longitudes are not wrapped."""
+Geodetic coordinates count as equal whatever the ellipsoid (no datum shift; a datum or `towgs84` that asks for one is refused),
+longitudes are not wrapped."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 #: fixed values: semi-major axis and inverse flattening.
-ELLIPSOIDS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101)}
+ELLIPSOIDS = {
+    "WGS84": (6378137.0, 298.257223563),
+    "GRS80": (6378137.0, 298.257222101),
+    "WGS72": (6378135.0, 298.26),
+    "GRS67": (6378160.0, 298.2471674270),
+    "AUST_SA": (6378160.0, 298.25),
+    "AIRY": (6377563.396, 299.3249646),
+    "BESSEL": (6377397.155, 299.1528128),
+    "CLRK66": (6378206.4, 294.9786982138982),
+    "CLRK80IGN": (6378249.2, 293.4660212936269),
+    "INTL": (6378388.0, 297.0),
+    "KRASS": (6378245.0, 298.3),
+}
+#: fixed values: metres in a unit of length.
+UNITS = {"m": 1.0, "km": 1000.0, "cm": 0.01, "ft": 0.3048, "us-ft": 1200 / 3937, "yd": 0.9144, "mi": 1609.344, "kmi": 1852.0}
+#: Datums whose geodetic coordinates count as those of WGS84.
+DATUMS = {"WGS84": "WGS84", "NAD83": "GRS80", "ETRS89": "GRS80", "GRS80": "GRS80", "GDA94": "GRS80"}
 SPHERE = 6378137.0
 
 
 @dataclass(frozen=True)
 class Projection:
-    """kind: longlat, webmerc, tmerc, lcc, aea, stere, merc, eqc, sinu.  Angles in degrees."""
+    """kind: longlat, webmerc, tmerc, lcc, aea, stere, sterea, merc, eqc, sinu.  Angles in degrees, lengths in metres but for
+    coordinates, which are in units of `unit` metres.  size (semi-major axis, inverse flattening) replaces the ellipsoid's."""
 
     kind: str
     ellps: str = "WGS84"
@@ -26,15 +44,17 @@ class Projection:
     k0: float = 1.0
     x0: float = 0.0
     y0: float = 0.0
+    unit: float = 1.0
+    size: tuple[float, float] | None = None
     name: str = field(default="", compare=False)
 
     @property
     def a(self) -> float:
-        return ELLIPSOIDS[self.ellps][0]
+        return (self.size or ELLIPSOIDS[self.ellps])[0]
 
     @property
     def f(self) -> float:
-        return 1 / ELLIPSOIDS[self.ellps][1]
+        return 1 / (self.size or ELLIPSOIDS[self.ellps])[1]
 
     @property
     def e2(self) -> float:
@@ -59,9 +79,9 @@ def epsg(code: int) -> Projection:
         return _utm(code - 32600, False)
     if 32701 <= code <= 32760:
         return _utm(code - 32700, True)
-    if 25828 <= code <= 25838:
-        z = _utm(code - 25800, False)
-        return Projection(**{**z.__dict__, "ellps": "GRS80"})
+    for first, last, base, south in ((25828, 25838, 25800, False), (26901, 26923, 26900, False), (28348, 28358, 28300, True), (7846, 7859, 7800, True)):  # ETRS89, NAD83, GDA94, GDA2020
+        if first <= code <= last:
+            return replace(_utm(code - base, south), ellps="GRS80")
     table = {
         4326: Projection("longlat"),
         4258: Projection("longlat", ellps="GRS80"),
@@ -77,6 +97,16 @@ def epsg(code: int) -> Projection:
         3031: Projection("stere", lon0=0, lat0=-90, lat_ts=-71),
         3413: Projection("stere", lon0=-45, lat0=90, lat_ts=70),
         3995: Projection("stere", lon0=0, lat0=90, lat_ts=71),
+        3996: Projection("stere", lon0=0, lat0=90, lat_ts=75),
+        3976: Projection("stere", lon0=0, lat0=-90, lat_ts=-70),
+        32661: Projection("stere", lat0=90, k0=0.994, x0=2000000, y0=2000000),
+        32761: Projection("stere", lat0=-90, k0=0.994, x0=2000000, y0=2000000),
+        2193: Projection("tmerc", ellps="GRS80", lon0=173, k0=0.9996, x0=1600000, y0=10000000),
+        3338: Projection("aea", ellps="GRS80", lon0=-154, lat0=50, lat1=55, lat2=65),
+        3005: Projection("aea", ellps="GRS80", lon0=-126, lat0=45, lat1=50, lat2=58.5, x0=1000000),
+        3310: Projection("aea", ellps="GRS80", lon0=-120, lat0=0, lat1=34, lat2=40.5, y0=-4000000),
+        3978: Projection("lcc", ellps="GRS80", lon0=-95, lat0=49, lat1=49, lat2=77),
+        3347: Projection("lcc", ellps="GRS80", lon0=-(91 + 52 / 60), lat0=63.390675, lat1=49, lat2=77, x0=6200000, y0=3000000),
     }
     if code not in table:
         raise ValueError(f"CRS not supported: EPSG:{code}")
@@ -90,12 +120,16 @@ def _proj_string(text: str) -> Projection:
         args[key] = value
     if "init" in args:
         return parse_crs(args["init"])
-    ellps = args.get("ellps", args.get("datum", "WGS84")).upper()
-    ellps = "GRS80" if ellps in ("NAD83", "ETRS89", "GRS80") else ellps
+    datum = args.get("datum", "").upper()
+    if datum and datum not in DATUMS or any(float(x or 0) for x in args.get("towgs84", "").split(",")):
+        raise ValueError(f"CRS not supported: datum shift in {text!r}")
+    ellps = args.get("ellps", DATUMS.get(datum, "WGS84")).upper()
+    ellps = DATUMS.get(ellps, ellps)
     if ellps not in ELLIPSOIDS:
         raise ValueError(f"CRS not supported: ellipsoid {ellps} in {text!r}")
-    if args.get("units", "m") != "m" or "to_meter" in args:
+    if args.get("units", "m") not in UNITS:
         raise ValueError(f"CRS not supported: units in {text!r}")
+    unit = float(args["to_meter"]) if "to_meter" in args else UNITS[args.get("units", "m")]
     num = lambda k, d=None: float(args[k]) if k in args else d
     kind = args.get("proj", "")
     kind = {"latlong": "longlat", "latlon": "longlat", "lonlat": "longlat"}.get(kind, kind)
@@ -103,16 +137,21 @@ def _proj_string(text: str) -> Projection:
         zone = int(args.get("zone", 0))
         if not 1 <= zone <= 60:
             raise ValueError(f"CRS not supported: zone in {text!r}")
-        z = _utm(zone, "south" in args)
-        return Projection(**{**z.__dict__, "ellps": ellps})
-    if kind not in ("longlat", "tmerc", "merc", "lcc", "aea", "stere", "sinu", "eqc"):
+        return replace(_utm(zone, "south" in args), ellps=ellps, unit=unit)
+    if kind not in ("longlat", "tmerc", "merc", "lcc", "aea", "stere", "sterea", "sinu", "eqc"):
         raise ValueError(f"CRS not supported: {text!r}")
-    if kind == "merc" and num("a") is not None and num("a") == num("b"):
+    a, b, size = num("a"), num("b"), None
+    if kind == "merc" and a is not None and a == b == SPHERE:
         return Projection("webmerc")
+    if a is not None:
+        rf = num("rf", a / (a - b) if b is not None and b != a else None)
+        if rf is None:
+            raise ValueError(f"CRS not supported: a sphere in {text!r}")
+        size = (a, rf)
     lat1 = num("lat_1", num("lat_0") if kind == "lcc" else None)
     if kind in ("lcc", "aea") and lat1 is None:
         raise ValueError(f"CRS not supported: lat_1 is missing in {text!r}")
-    spec = Projection(kind, ellps, num("lon_0", 0.0), num("lat_0", lat1 if kind == "lcc" and "lat_0" not in args else 0.0), lat1, num("lat_2", lat1), num("lat_ts"), num("k_0", num("k", 1.0)), num("x_0", 0.0), num("y_0", 0.0))
+    spec = Projection(kind, ellps, num("lon_0", 0.0), num("lat_0", lat1 if kind == "lcc" and "lat_0" not in args else 0.0), lat1, num("lat_2", lat1), num("lat_ts"), num("k_0", num("k", 1.0)), num("x_0", 0.0), num("y_0", 0.0), unit if kind != "longlat" else 1.0, size)
     if kind == "stere" and abs(spec.lat0) != 90:
         raise ValueError(f"CRS not supported: oblique stereographic {text!r}")
     return spec

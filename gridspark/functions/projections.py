@@ -10,7 +10,7 @@ import math
 from gridspark.functions.crs import SPHERE, Projection, parse_crs
 from gridspark.functions.exprs import Steps, lit, poly
 
-#: Web Mercator takes latitudes to here.
+#: fixed value: Web Mercator takes latitudes to here.
 LAT_LIMIT = 1.4844222297453324
 
 # fixed values: Krueger series to the sixth order in n, alpha for forward and beta for inverse
@@ -77,6 +77,18 @@ def _polar_scale(p: Projection) -> float:
     return p.a * msfn(ts, p.e2) / tsfn(ts, p.e)
 
 
+def _double(p: Projection) -> tuple[float, float, float, float]:
+    """n, c, R and the conformal latitude of origin of the double stereographic projection (EPSG method 9809)."""
+    f0 = math.radians(p.lat0)
+    s = math.sin(f0)
+    radius = p.a * math.sqrt(1 - p.e2) / (1 - p.e2 * s * s)
+    n = math.sqrt(1 + p.e2 * math.cos(f0) ** 4 / (1 - p.e2))
+    w1 = ((1 + s) / (1 - s) * ((1 - p.e * s) / (1 + p.e * s)) ** p.e) ** n
+    sphere = (w1 - 1) / (w1 + 1)
+    c = (n + s) * (1 - sphere) / ((n - s) * (1 + sphere))
+    return n, c, radius, math.asin((c * w1 - 1) / (c * w1 + 1))
+
+
 # ---- shared steps -------------------------------------------------------------------------------
 
 
@@ -138,6 +150,15 @@ def forward(p: Projection, lon: str, lat: str, tag: str = "f") -> tuple[Steps, s
         north = p.lat0 > 0
         flip, k = f"{tag}_l", _polar_scale(p)
         return [(flip, lat if north else f"(0e0 - {lat})"), *_tan_half(t, flip, p.e), (x, off(f"{lit(k)} * {t} * sin{lam}", p.x0)), (y, off(f"{lit(-k if north else k)} * {t} * cos{lam}", p.y0))], x, y
+    if p.kind == "sterea":
+        n, c, radius, chi0 = _double(p)
+        w, chi, th, bb = (f"{tag}_{v}" for v in ("w", "chi", "th", "bb"))
+        k, s0, c0 = lit(2 * radius * p.k0), lit(math.sin(chi0)), lit(math.cos(chi0))
+        return [
+            *_tan_half(t, lat, p.e), (w, f"{lit(c)} * power({t}, {lit(-2 * n)})"), (chi, f"asin(({w} - 1e0) / ({w} + 1e0))"), (th, f"{lit(n)} * {lam}"),
+            (bb, f"1e0 + sin({chi}) * {s0} + cos({chi}) * {c0} * cos({th})"),
+            (x, off(f"{k} * cos({chi}) * sin({th}) / {bb}", p.x0)), (y, off(f"{k} * (sin({chi}) * {c0} - cos({chi}) * {s0} * cos({th})) / {bb}", p.y0)),
+        ], x, y
     if p.kind == "tmerc":
         tau, sg, tp, xi, eta = (f"{tag}_{v}" for v in ("tau", "sg", "tp", "xi", "eta"))
         k = p.k0 * _rectifying(p)
@@ -205,6 +226,16 @@ def inverse(p: Projection, x: str, y: str, tag: str = "i") -> tuple[Steps, str,
         north, k = p.lat0 > 0, _polar_scale(p)
         flip = f"{tag}_l"
         return [(t, f"sqrt({dx} * {dx} + {dy} * {dy}) / {lit(k)}"), *_lat_from_tan_half(flip, t, p.e), (lat, flip if north else f"0e0 - {flip}"), (lon, f"{lon0} + atan2({dx}, {lit(-1.0 if north else 1.0)} * {dy})")], lon, lat
+    if p.kind == "sterea":
+        n, c, radius, chi0 = _double(p)
+        i, j, chi = (f"{tag}_{v}" for v in ("i", "j", "chi"))
+        k = 2 * radius * p.k0
+        g = k * math.tan(math.pi / 4 - chi0 / 2)
+        h = 2 * k * math.tan(chi0) + g
+        return [
+            (i, f"atan({dx} / ({lit(h)} + {dy}))"), (j, f"atan({dx} / ({lit(g)} - {dy})) - {i}"), (chi, f"{lit(chi0)} + 2e0 * atan(({dy} - {dx} * tan({j} / 2e0)) / {lit(k)})"),
+            (t, f"power((1e0 + sin({chi})) / ({lit(c)} * (1e0 - sin({chi}))), {lit(-1 / (2 * n))})"), *_lat_from_tan_half(lat, t, p.e), (lon, f"{lon0} + ({j} + 2e0 * {i}) / {lit(n)}"),
+        ], lon, lat
     if p.kind == "tmerc":
         k = p.k0 * _rectifying(p)
         xi, eta, a, b, tp = (f"{tag}_{v}" for v in ("xi", "eta", "a", "b", "tp"))
@@ -229,6 +260,14 @@ def between(src: str, dst: str, x: str, y: str, tag: str = "p") -> tuple[Steps,
     a, b = parse_crs(src), parse_crs(dst)
     if a == b:
         return [], x, y
+    scale: Steps = []
+    if a.unit != 1:
+        scale = [(f"{tag}mx", f"{x} * {lit(a.unit)}"), (f"{tag}my", f"{y} * {lit(a.unit)}")]
+        x, y = f"{tag}mx", f"{tag}my"
     back, lon, lat = inverse(a, x, y, f"{tag}i")
     ahead, u, v = forward(b, lon, lat, f"{tag}f")
-    return back + ahead, u, v
+    out = scale + back + ahead
+    if b.unit != 1:
+        out += [(f"{tag}ux", f"{u} / {lit(b.unit)}"), (f"{tag}uy", f"{v} / {lit(b.unit)}")]
+        u, v = f"{tag}ux", f"{tag}uy"
+    return out, u, v

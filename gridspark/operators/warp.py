@@ -15,6 +15,7 @@ from gridspark.functions.exprs import Steps, lit, run_frame, run_sql
 from gridspark.functions.projections import between
 from gridspark.operators.kernels import DTYPES, RADIUS, checked_dtype, fill_value, kernel_name, reach, scales, usable_nodata, weight_text
 from gridspark.plans.grid import Grid
+from gridspark.plans.planner import source_window
 
 
 def affine_steps(t, col: str, row: str, x: str, y: str) -> Steps:
@@ -121,13 +122,27 @@ def typed_text(value: str, dtype: str, rounding: str, even: str = "rint({})") ->
     return f"case when not isnan({value}) then cast(greatest({lit(lo)}, least({lit(hi)}, {even.format(value)})) as {sql}) end"
 
 
+#: Key values (bands, times ..) up to which rows are made for each of them from a list on the driver.
+MOST_KEYS = 10_000
+
+
+def keyed_cells(cells: DataFrame, each: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every cell once for each key."""
+    names = [f"`{k}`" for k in keys]
+    found = each.select(*names).limit(MOST_KEYS + 1).collect()
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} values of {keys}; warp them in parts")
+    if not found:
+        return cells.where("false").select(*(F.lit(None).cast(each.schema[k].dataType).alias(k) for k in keys), *cells.columns)
+    rows = F.array(*(F.struct(*(F.lit(r[k]).cast(each.schema[k].dataType).alias(k) for k in keys)) for r in found))
+    return cells.select(F.explode(rows).alias("_key"), *cells.columns).select("_key.*", *cells.columns)
 
 
 def warp_pixels(pixels: DataFrame, src: Grid, dst: Grid, resampling: str = "nearest", nodata: float | None = None, dtype: str = "float64", rounding: str = "round", keys: tuple[str, ...] = (), coord_decimals: int | None = None, coords: DataFrame | None = None, fill: bool = False) -> DataFrame:
     """(keys, row, col, v): the warped pixels that have a value; with `fill` all pixels, the rest at the fill value.
 
     coords (row, col, src_col, src_row) replaces the destination grid's own coordinates; average then takes 1 x 1 boxes."""
-    spark = pixels.sparkSession
+    spark, given = pixels.sparkSession, pixels
     kernel, nodata_in = kernel_name(resampling), usable_nodata(nodata, checked_dtype(dtype))
     if coords is None:
         at = run_frame(coordinate_steps(src, dst, coord_decimals), grid_cells(spark, dst))
@@ -138,6 +153,9 @@ def warp_pixels(pixels: DataFrame, src: Grid, dst: Grid, resampling: str = "near
         at, scale = coords.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("src_col").alias("sc"), F.col("src_row").alias("sr")), (1.0, 1.0)
     rules = _tap_rules(kernel, src, scale)
     near = at.where(rules["check"])
+    window = source_window(src, dst, kernel) if coords is None else None
+    if window:  # reaches the scan of a table that has row and col
+        pixels = pixels.where(F.col("row").between(*window[:2]) & F.col("col").between(*window[2:]))
     values = pixels.select(*keys, F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("v").cast("double").alias("v"))
     if kernel == "nearest":
         taps = near.select("r", "c", F.expr(f"cast({rules['ua']} as int)").alias("tr"), F.expr(f"cast({rules['ta']} as int)").alias("tc"))
@@ -158,8 +176,13 @@ def warp_pixels(pixels: DataFrame, src: Grid, dst: Grid, resampling: str = "near
     if fill:
         value = F.lit(fill_value(nodata, dtype)).cast(DTYPES[dtype][1])
         cells = grid_cells(spark, dst) if coords is None else at.select("r", "c")
-        if keys:
-            cells = pixels.select(*keys).distinct().withColumn("_one", F.lit(1)).join(cells.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        if keys:  # each key makes the grid's cells itself: no join
+            each = given.select(*keys).distinct()
+            if coords is None:
+                each = each.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(dst.rows - 1)))).repartition(*keys, "r")
+                cells = each.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(dst.cols - 1))))
+            else:
+                cells = keyed_cells(cells, each, keys)
         out = cells.join(out, [*keys, "r", "c"], "left").withColumn("v", F.coalesce("v", value))
     return out.select(*keys, F.col("r").alias("row"), F.col("c").alias("col"), "v")
 

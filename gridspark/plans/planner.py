@@ -30,12 +30,16 @@ def _edge_and_lattice(r0: int, r1: int, c0: int, c1: int, points: int = 21, inne
     return np.concatenate([cs, cs, np.full(points, c0), np.full(points, c1), gc]), np.concatenate([np.full(points, r0), np.full(points, r1), rs, rs, gr])
 
 
-def plan_tile(src: Grid, dst: Grid, r0: int, r1: int, c0: int, c1: int, kernel: str) -> dict:
+def plan_tile(src: Grid, dst: Grid, r0: int, r1: int, c0: int, c1: int, kernel: str, within: tuple[int, int, int, int] | None = None) -> dict:
+    """within: the footprint of the source; a tile outside is not projected."""
     scale = scales(src.affine, dst.affine)
     rx, ry = reach(kernel, scale)
-    sc, sr = source_coords(src, dst, *_edge_and_lattice(r0, r1, c0, c1))
-    fine = np.isfinite(sc) & np.isfinite(sr)
     box = (0, 0, 0, 0)
+    if within and (r1 <= within[0] or r0 >= within[1] or c1 <= within[2] or c0 >= within[3]):
+        fine = np.zeros(0, bool)
+    else:
+        sc, sr = source_coords(src, dst, *_edge_and_lattice(r0, r1, c0, c1))
+        fine = np.isfinite(sc) & np.isfinite(sr)
     if fine.any():
         lo = lambda v, halo, n: int(min(max(math.floor(v.min() - halo) - 1, 0), n))
         hi = lambda v, halo, n: int(min(max(math.ceil(v.max() + halo) + 1, 0), n))
@@ -49,6 +53,43 @@ def plan_tile(src: Grid, dst: Grid, r0: int, r1: int, c0: int, c1: int, kernel:
     }
 
 
+def source_window(src: Grid, dst: Grid, kernel: str, points: int = 129, inner: int = 33) -> tuple[int, int, int, int] | None:
+    """(first row, last row, first column, last column) of the source that dst can need; None if that can't be told or is
+    everything.  A margin of the largest bend between neighbouring sample points covers what lies between them."""
+    rx, ry = reach(kernel, scales(src.affine, dst.affine))
+    cols, rows = np.meshgrid(np.linspace(0, dst.cols, points), np.linspace(0, dst.rows, inner))
+    down, along = np.meshgrid(np.linspace(0, dst.rows, points), np.linspace(0, dst.cols, inner))
+    out = []
+    for c, r in ((cols, rows), (along, down)):
+        x, y = source_coords(src, dst, c, r)
+        if not (np.isfinite(x).all() and np.isfinite(y).all()):
+            return None
+        out.append((x, y))
+    box = []
+    for axis, halo, n in ((1, ry, src.rows), (0, rx, src.cols)):
+        values = [o[axis] for o in out]
+        bend = max(float(np.abs(np.diff(v, 2, axis=a)).max()) for v in values for a in (0, 1))
+        lo, hi = min(float(v.min()) for v in values), max(float(v.max()) for v in values)
+        margin = halo + bend + 2
+        box += [max(0, math.floor(lo - margin)), min(n - 1, math.ceil(hi + margin))]
+    return None if box == [0, src.rows - 1, 0, src.cols - 1] else tuple(box)  # type: ignore[return-value]
+
+
+def footprint(src: Grid, dst: Grid, kernel: str) -> tuple[int, int, int, int] | None:
+    """(first row, end row, first column, end column) of dst that the source's rim and inside cover, with a margin for what
+    lies between the sample points; None if some of these can't be projected."""
+    rx, ry = reach(kernel, scales(src.affine, dst.affine))
+    c, r = np.meshgrid(np.linspace(-rx, src.cols + rx, 65), np.linspace(-ry, src.rows + ry, 65))
+    x, y = source_coords(dst, src, c, r)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return None
+    box = []
+    for v, n in ((y, dst.rows), (x, dst.cols)):
+        margin = max(float(np.abs(np.diff(v, 2, axis=a)).max()) for a in (0, 1)) + 2
+        box += [min(n, max(0, math.floor(v.min() - margin))), min(n, max(0, math.ceil(v.max() + margin)))]
+    return tuple(box)  # type: ignore[return-value]
+
+
 def chunk_sizes(n: int, chunk: int) -> list[int]:
     """Full chunks and a remainder."""
     if chunk < 1:
@@ -65,11 +106,11 @@ def plan_reproject(src: Grid, dst: Grid, dst_chunks: tuple[int, int] | None = No
     """One record per destination tile, row by row."""
     kernel = kernel_name(resampling)
     th, tw = dst_chunks or dst.shape
-    out, r0 = [], 0
+    out, r0, within = [], 0, footprint(src, dst, kernel)
     for h in chunk_sizes(dst.rows, th):
         c0 = 0
         for w in chunk_sizes(dst.cols, tw):
-            out.append(plan_tile(src, dst, r0, r0 + h, c0, c0 + w, kernel))
+            out.append(plan_tile(src, dst, r0, r0 + h, c0, c0 + w, kernel, within))
             c0 += w
         r0 += h
     return out
@@ -87,7 +128,7 @@ def plan_table(spark: SparkSession, src: Grid, dst: Grid, dst_chunks: tuple[int,
     if min(th, tw) < 1:
         raise ValueError("tile size must be positive")
     down, across = -(-dst.rows // th), -(-dst.cols // tw)
-    schema = pa.schema([(f, t) for f, t in _ARROW])
+    schema, within = pa.schema([(f, t) for f, t in _ARROW]), footprint(src, dst, kernel)
 
     def work(batches):
         for batch in batches:
@@ -96,7 +137,7 @@ def plan_table(spark: SparkSession, src: Grid, dst: Grid, dst_chunks: tuple[int,
                 rows = []
                 for i in ids[lo : lo + 512]:
                     r, c = divmod(i, across)
-                    p = plan_tile(src, dst, r * th, min(dst.rows, (r + 1) * th), c * tw, min(dst.cols, (c + 1) * tw), kernel)
+                    p = plan_tile(src, dst, r * th, min(dst.rows, (r + 1) * th), c * tw, min(dst.cols, (c + 1) * tw), kernel, within)
                     rows.append({k: v._asdict() if isinstance(v, Affine) else v for k, v in p.items()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
