@@ -11,7 +11,8 @@ from gridspark.functions.exprs import lit, run_frame, run_sql
 from gridspark.operators import warp as W
 from gridspark.plans.grid import Affine, Grid, boundary, projected_grid
 from gridspark.plans.planner import blocks_per_tile, plan_frame, plan_reproject
-from gridspark.raster import RasterFrame, mosaic
+from gridspark.operators.kernels import reach, scales
+from gridspark.raster import RasterFrame, RasterSet, mosaic
 from gridspark.sources.adapters import keyed_pixels, rasterise
 
 KERNELS = ("nearest", "bilinear", "cubic", "lanczos", "average")
@@ -25,7 +26,7 @@ RASTERS = {
     "part": ("p_partkey", "p_retailprice", 20, "EPSG:32633", Affine(50, 0, 500000, 0, -100, 6600000)),
     "customer": ("c_custkey", "c_acctbal", 15, "EPSG:4326", Affine(0.01, 0, 15, 0, -0.01, 60)),
 }
-ROWS = {"orders": 100, "events": 100, "part": 100, "customer": 100}  # rows in use at every size above the least; the rest of the table lies below
+ROWS = {"orders": 100, "events": 100, "part": 100, "customer": 100}  # rows at sf0.01, which the SQL texts are written for
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,6 +188,8 @@ for _n, _t, _a, _b in (
     ("tp_4326_2154", "customer", "EPSG:4326", "EPSG:2154"), ("tp_4326_5070", "customer", "EPSG:4326", "EPSG:5070"), ("tp_4326_3031", "customer", "EPSG:4326", "EPSG:3031"), ("tp_4326_3413", "customer", "EPSG:4326", "EPSG:3413"),
     ("tp_2154_4326", "customer", "EPSG:2154", "EPSG:4326"), ("tp_5070_4326", "customer", "EPSG:5070", "EPSG:4326"), ("tp_3031_4326", "customer", "EPSG:3031", "EPSG:4326"), ("tp_3413_4326", "customer", "EPSG:3413", "EPSG:4326"),
     ("tp_sinusoidal", "customer", "EPSG:4326", "+proj=sinu +lon_0=5"), ("tp_equirect", "customer", "EPSG:4326", "+proj=eqc +lat_ts=45"), ("tp_mercator_ell", "customer", "EPSG:4326", "EPSG:3395"),
+    ("tp_albers_feet", "customer", "EPSG:4326", "+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=5 +ellps=clrk66 +units=us-ft"), ("tp_lcc_feet_inverse", "customer", "+proj=lcc +lat_1=40 +lat_2=55 +lat_0=45 +lon_0=5 +ellps=intl +units=ft", "EPSG:4326"),
+    ("tp_double_stereographic", "customer", "EPSG:4326", "+proj=sterea +lat_0=52 +lon_0=5 +k_0=0.9999079 +x_0=155000 +y_0=463000 +ellps=bessel"),
     ("tp_mercator_ell_inverse", "customer", "EPSG:3395", "EPSG:4326"), ("tp_lcc_1sp", "customer", "EPSG:4326", "+proj=lcc +lat_1=46.5 +lat_0=46.5 +lon_0=3 +k_0=0.9998 +x_0=600000 +y_0=2200000"),
 ):
     add_points(_n, _t, _a, _b)
@@ -341,7 +344,28 @@ def _same_crs_plan_sql() -> str:
 
 
 _plan("plan_tiles_same_crs", _shift, (32, 64), "bilinear", _same_crs_plan_sql())
-_plan("plan_tiles_cross_crs", _lonlat_of, (32, 64), "lanczos")
+
+
+def _cross_crs_plan_sql(chunks: tuple[int, int], kernel: str) -> str:
+    """Each tile's rim (21 points a side) and 5 x 5 lattice, projected one by one; the halo is the kernel's reach."""
+    src = fixed_grid("orders")
+    dst = _lonlat_of(src)
+    th, tw = chunks
+    rim = [(i / 20, e) for i in range(21) for e in (0, 1)]
+    at = ", ".join(f"({lit(u)}, {lit(v)})" for u, v in dict.fromkeys([*rim, *((v, u) for u, v in rim), *(((i + 1) / 6, (j + 1) / 6) for i in range(5) for j in range(5))]))
+    tiles = f"(select r0, least(r0 + {th}, {dst.rows}) as r1, c0, least(c0 + {tw}, {dst.cols}) as c1 from (select unnest(range(0, {dst.rows}, {th})) as r0), (select unnest(range(0, {dst.cols}, {tw})) as c0))"
+    points = f"(select r0, r1, c0, c1, c0 + (c1 - c0) * u as pc, r0 + (r1 - r0) * w as pr from {tiles}, (values {at}) p(u, w))"
+    steps, x, y = W.between(dst.crs, src.crs, "gx", "gy")
+    steps = W.affine_steps(dst.affine, "pc", "pr", "gx", "gy") + steps + W.affine_steps(src.affine.inverse(), x, y, "sc", "sr")
+    rx, ry = reach(kernel, scales(src.affine, dst.affine))
+    slices = ", ".join(f"cast(least(greatest({f}({g}({v}) {s} {lit(halo)}) {s} 1, 0), {n}) as int) as src_{v[1]}{k}" for v, halo, n in (("sr", ry, src.rows), ("sc", rx, src.cols)) for k, f, g, s in ((0, "floor", "min", "-"), (1, "ceil", "max", "+")))
+    found = f"(select r0, r1, c0, c1, {slices} from {run_sql(steps, points)} group by r0, r1, c0, c1)"
+    full = f"(select *, src_r1 > src_r0 and src_c1 > src_c0 as has_data from {found})"
+    cut = ", ".join(f"case when has_data then {k} else 0 end as {k}" for k in ("src_r0", "src_r1", "src_c0", "src_c1"))
+    return f"select cast(r0 as int) as dst_r0, cast(r1 as int) as dst_r1, cast(c0 as int) as dst_c0, cast(c1 as int) as dst_c1, {cut}, cast(r1 - r0 as int) as h, cast(c1 - c0 as int) as w, has_data from {full}"
+
+
+_plan("plan_tiles_cross_crs", _lonlat_of, (32, 64), "lanczos", _cross_crs_plan_sql((32, 64), "lanczos"))
 _plan(
     "plan_tiles_disjoint", lambda s: Grid("EPSG:32633", (64, 64), Affine(100, 0, 900000, 0, -100, 6600000)), (32, 32), "bilinear",
     "select cast(r * 32 as int) as dst_r0, cast(r * 32 + 32 as int) as dst_r1, cast(c * 32 as int) as dst_c0, cast(c * 32 + 32 as int) as dst_c1, 0 as src_r0, 0 as src_r1, 0 as src_c0, 0 as src_c1, 32 as h, 32 as w, false as has_data from range(2) a(r), range(2) b(c)",
@@ -377,6 +401,25 @@ register(
 )
 
 
+def add_dataset() -> None:
+    """Variables of two types, each group of one type warped at once; a table without both dimensions passes through."""
+
+    def query(spark, sf_dir):
+        src = source_grid(spark, sf_dir, "part")
+        of = lambda v, dtype: RasterFrame(pixels(spark, sf_dir, "part", v), src, dtype)
+        rs = RasterSet.of({"price": of(None, "float64"), "half": of("p_retailprice / 2e0", "float64"), "size": of("p_size", "uint8")}, {"brands": read(spark, sf_dir, "part").select("p_brand")})
+        out = rs.reproject_match(_shift(src), "bilinear", fill=False, coord_decimals=4)
+        each = [rounded(out[n].df).select(F.lit(n).alias("variable"), "row", "col", F.col("v").cast("double").alias("v")) for n in ("price", "half", "size")]
+        return each[0].unionByName(each[1]).unionByName(each[2])
+
+    src = fixed_grid("part")
+    parts = [(n, W.warp_sql(pixels_sql("part", v), src, _shift(src), "bilinear", None, dtype, coord_decimals=4, out_decimals=4)) for n, v, dtype in (("price", None, "float64"), ("half", "p_retailprice / 2e0", "float64"), ("size", "p_size", "uint8"))]
+    register("dataset_two_types", query, " union all ".join(f"select '{n}' as variable, \"row\", col, cast(v as double) as v from ({q})" for n, q in parts))
+
+
+add_dataset()
+
+
 def add_mosaic() -> None:
     east = Affine(100, 0, 507000, 0, -100, 6600000)
 

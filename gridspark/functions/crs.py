@@ -6,6 +6,7 @@ longitudes are not wrapped."""
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field, replace
 
 #: fixed values: semi-major axis and inverse flattening.
@@ -157,8 +158,30 @@ def _proj_string(text: str) -> Projection:
     return spec
 
 
+_AUTHORITY = re.compile(r'(?:ID\["EPSG",\s*(\d+)\]|AUTHORITY\["EPSG",\s*"(\d+)"\])\s*\]\s*$')
+
+
+def from_wkt(wkt: str) -> str:
+    """`EPSG:n` of a WKT that ends with its code, else the WKT as it is (which parse_crs refuses)."""
+    m = _AUTHORITY.search(wkt)
+    return f"EPSG:{m[1] or m[2]}" if m else wkt
+
+
+def crs_of(attrs: dict | None = None, spatial_ref: dict | None = None) -> str:
+    """The CRS that a dataset's metadata name: spatial_ref's `epsg`, then its `crs_wkt`, then the attribute `crs`."""
+    ref, attrs = spatial_ref or {}, attrs or {}
+    if ref.get("epsg") is not None:
+        return f"EPSG:{int(ref['epsg'])}"
+    if ref.get("crs_wkt"):
+        return from_wkt(str(ref["crs_wkt"]))
+    if attrs.get("crs") is not None:
+        return from_wkt(str(attrs["crs"]))
+    raise ValueError("no CRS is named: neither spatial_ref (epsg, crs_wkt) nor the attribute crs")
+
+
 def parse_crs(crs: str) -> Projection:
-    """`EPSG:n`, `epsg:n` or a PROJ string; ValueError names what isn't supported."""
+    """`EPSG:n`, `epsg:n`, a PROJ string or a WKT that ends with its EPSG code; ValueError names what isn't supported."""
+    crs = from_wkt(crs)
     if crs.startswith(("EPSG:", "epsg:")):
         code = crs[5:]
         if not code.isdigit():

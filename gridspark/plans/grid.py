@@ -93,10 +93,22 @@ class Grid:
         rx, ry = float(xs[1]) - float(xs[0]), float(ys[1]) - float(ys[0])
         return cls(crs, (len(ys), len(xs)), Affine(rx, 0.0, float(xs[0]) - rx / 2, 0.0, ry, float(ys[0]) - ry / 2))
 
+    @classmethod
+    def of(cls, other) -> Grid:
+        """A grid as it is; the grid of anything that has one (`grid`); or of an object with crs, shape and affine (or transform)."""
+        if isinstance(other, Grid):
+            return other
+        if isinstance(getattr(other, "grid", None), Grid):
+            return other.grid
+        if all(hasattr(other, k) for k in ("crs", "shape")) and (hasattr(other, "affine") or hasattr(other, "transform")):
+            return cls.from_odc(other)
+        raise TypeError(f"a grid is needed, or an object with crs, shape and affine; not {type(other).__name__}")
+
     @classmethod
     def from_odc(cls, box) -> Grid:
         """From any object with crs, shape (y, x) and affine a..f."""
-        return cls(str(box.crs), (box.shape.y, box.shape.x) if hasattr(box.shape, "y") else tuple(box.shape), Affine(*(getattr(box.affine, k) for k in "abcdef")))
+        t = box.affine if hasattr(box, "affine") else box.transform
+        return cls(str(box.crs), (box.shape.y, box.shape.x) if hasattr(box.shape, "y") else tuple(box.shape), Affine(*(getattr(t, k) for k in "abcdef")))
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:

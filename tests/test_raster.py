@@ -202,3 +202,90 @@ def test_large_windows_are_refused(spark):
     src = Grid("EPSG:32633", (4000, 4000), UTM)
     with pytest.raises(ValueError, match="dst_chunks"):
         reproject_tiles(None, src, Grid("EPSG:32633", (4, 4), Affine(100000, 0, 500000, 0, -100000, 6600000)), dst_chunks=None, max_bytes=1 << 20)
+
+
+def test_crs_of_metadata():
+    from gridspark.functions.crs import crs_of, parse_crs
+
+    wkt2 = 'PROJCRS["WGS 84 / UTM zone 33N",BASEGEOGCRS["WGS 84",ID["EPSG",4326]],CONVERSION["UTM zone 33N"],ID["EPSG",32633]]'
+    wkt1 = 'GEOGCS["WGS 84",DATUM["WGS_1984",AUTHORITY["EPSG","6326"]],AUTHORITY["EPSG","4326"]]'
+    assert crs_of({"crs": "EPSG:4326"}, {"epsg": 32633, "crs_wkt": wkt1}) == "EPSG:32633"
+    assert crs_of({"crs": "EPSG:3857"}, {"crs_wkt": wkt1}) == "EPSG:4326" and crs_of({"crs": wkt2}) == "EPSG:32633" and crs_of({"crs": "+proj=sinu"}) == "+proj=sinu"
+    assert parse_crs(wkt2) == parse_crs("EPSG:32633")
+    with pytest.raises(ValueError, match="no CRS"):
+        crs_of({}, {})
+    with pytest.raises(ValueError, match="not supported"):
+        parse_crs('PROJCRS["mine"]')
+
+
+def test_raster_set(spark):
+    from types import SimpleNamespace
+
+    from gridspark.raster import RasterFrame, RasterSet
+
+    src = Grid("EPSG:32633", (40, 30), Affine(100, 0, 500000, 0, -100, 6600000))
+    px = spark.range(1200).selectExpr("cast(id div 30 as int) as row", "cast(id % 30 as int) as col", "cast(id as double) as v")
+    times = spark.createDataFrame([(1,), (2,)], "time int")
+    rs = RasterSet.of(
+        {"a": RasterFrame(px, src, attrs={"unit": "m", "crs": "old"}), "b": RasterFrame(px.selectExpr("row", "col", "v * 2 as v"), src), "c": RasterFrame(px.selectExpr("row", "col", "cast(v % 200 as smallint) as v"), src, "uint8", nodata=7)},
+        {"times": times}, {"title": "x", "transform": "old"},
+    )
+    assert len(rs.groups) == 2 and rs.grid == src
+    dst = Grid("EPSG:4326", (20, 25), Affine(0.002, 0, 15.0, 0, -0.0015, 59.535))
+    box = SimpleNamespace(crs=dst.crs, shape=SimpleNamespace(y=20, x=25), affine=dst.affine)
+    for options in ({}, {"path": "tile", "dst_chunks": (8, 8)}):
+        out = rs.reproject_match(box, "bilinear", **options)
+        assert out.grid == dst and out.others["times"] is times and out.attrs["title"] == "x" and "transform" not in out.attrs
+        assert out["a"].attrs["unit"] == "m" and out["a"].attrs["spatial_ref"]["epsg"] == 4326 and "crs" not in out["a"].attrs
+        for n in "abc":
+            alone = rs[n].reproject_match(dst, "bilinear", **options).to_pixels().df
+            values = lambda df: sorted((r["row"], r["col"], str(round(float(r["v"]), 6))) for r in df.collect())
+            assert values(out[n].to_pixels().df) == values(alone)
+    near = rs["a"].reproject_match(dst, "bilinear", error_threshold=0.125)
+    exact = rs["a"].reproject_match(dst, "bilinear", path="tile")
+    both = near.to_pixels().df.withColumnRenamed("v", "w").join(exact.to_pixels().df, ["row", "col"]).where("not isnan(v) and not isnan(w)")
+    assert near.layout == "tiles" and both.count() > 100 and both.selectExpr("max(abs(v - w))").first()[0] < 0.13 * 31
+    with pytest.raises(ValueError, match="exact"):
+        rs["a"].reproject_match(dst, path="sql", error_threshold=0.1)
+    with pytest.raises(TypeError, match="a grid is needed"):
+        rs["a"].reproject_match(3)
+    with pytest.raises(KeyError):
+        rs["d"]
+
+
+def test_windows_reach_the_scan(spark, tmp_path):
+    from gridspark.plans.planner import footprint, source_window
+    from gridspark.raster import RasterFrame
+
+    src = Grid("EPSG:32633", (400, 400), Affine(100, 0, 500000, 0, -100, 6600000))
+    dst = Grid("EPSG:32633", (20, 20), Affine(100, 0, 510000, 0, -100, 6590000))
+    assert source_window(src, dst, "bilinear") is not None and footprint(src, dst, "bilinear") == (0, 20, 0, 20)
+    px = spark.range(160000).selectExpr("cast(id div 400 as int) as row", "cast(id % 400 as int) as col", "cast(id as double) as v")
+    px.write.parquet(str(tmp_path / "px"))
+    rf = RasterFrame(spark.read.parquet(str(tmp_path / "px")), src, tile=(50, 50))
+    out = rf.reproject_match(dst, "bilinear", fill=False)
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row,97), LessThanOrEqual(row,123)" in plan
+    assert out.df.count() == 400
+    from gridspark.sources.adapters import read_tiles, write_tiles
+
+    write_tiles(rf.to_tiles().df, str(tmp_path / "tiles"))
+    stored = RasterFrame(read_tiles(spark, str(tmp_path / "tiles")), src, tile=(50, 50), layout="tiles")
+    warped = stored.reproject_match(dst, "bilinear", dst_chunks=(10, 10))
+    plan = warped.df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "tile_row" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    values = lambda df: sorted((r["row"], r["col"], round(r["v"], 6)) for r in df.collect())
+    assert values(warped.to_pixels().df) == values(out.df)
+    far = Grid("EPSG:32633", (20, 20), Affine(100, 0, 900000, 0, -100, 6590000))
+    assert footprint(src, far, "bilinear")[3] == 0 or footprint(src, far, "bilinear")[3] <= footprint(src, far, "bilinear")[2]
+
+
+def test_bands_share_groups(spark):
+    from gridspark.raster import RasterFrame
+
+    src = Grid("EPSG:32633", (32, 32), Affine(100, 0, 500000, 0, -100, 6600000))
+    px = spark.range(1024 * 6).selectExpr("cast(id % 6 as int) as band", "cast(id div 6 div 32 as int) as row", "cast(id div 6 % 32 as int) as col", "cast(id as double) as v")
+    rf = RasterFrame(px, src, keys=("band",), tile=(16, 16)).to_tiles()
+    dst = Grid(src.crs, src.shape, src.affine.shifted(0.3, 0.7))
+    every = [sorted(map(str, reproject_tiles(rf.df, src, dst, keys=("band",), tile=(16, 16), dst_chunks=(16, 16), max_bytes=m).collect())) for m in (1 << 28, 20_000)]
+    assert every[0] == every[1] and len(every[0]) == 24
