@@ -595,6 +595,122 @@ def test_importance_resampling(spark, docs, rows, empty):
     assert {r["log_weight"] for r in none} == {0.0}
 
 
+def test_importance_weights_by_brute_force(spark):
+    import pyarrow as pa
+
+    from gridspark.llm.quality import BITS, SEED, SMOOTH, ngram_buckets, resampled
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(WORDS[: 20 if i % 2 else 48]) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (501, "")]
+    good = [i for i in range(0, 120, 6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(1, 1, 1), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    bucket = functools.cache(lambda *words: int(next(iter(ngram_buckets(pa.array([" ".join(words)]), BITS)))[0][-1]))  # of a word, or of the pair
+    raw, target, grams = Counter(), Counter(), []
+    for i, t in rows:
+        w = (t or "").split()
+        g = [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:], strict=False)]
+        grams.append(g)
+        raw.update(g)
+        target.update(g if i in good else [])
+    n, total, own = 1 << BITS, sum(raw.values()), sum(target.values())
+    base = lambda g: (raw[g] + 1) / (total + n)
+    ratio = lambda g: np.log((target[g] + SMOOTH * base(g)) / (own + SMOOTH)) - np.log(base(g))
+    want = [sum(ratio(x) for x in g) for g in grams]
+    out = resampled(documents(spark, rows), labels, fraction=0.5).collect()
+    got = defaultdict(list)
+    for r in out:
+        got[r["doc_id"]].append(r)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert all(abs(r["log_weight"] - w) < 1e-6 for r in got[i])
+    mask = (1 << 64) - 1
+
+    def scramble(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ (x >> shift)) * by) & mask
+        return x
+
+    for r in out:
+        u = (scramble((scramble(r["doc_id"]) + SEED) & mask) >> 11) * 2.0**-53 + 2.0**-54
+        assert abs(r["sample_key"] - (r["log_weight"] - np.log(-np.log(u)))) < 1e-9
+    least = sorted((r["sample_key"] for r in out), reverse=True)[round(0.5 * len(out)) - 1]
+    assert all(r["selected"] == (r["sample_key"] >= least) for r in out)
+
+
+def test_language_id_by_brute_force(spark):
+    """Exact n-gram sets in place of the Bloom filters."""
+    from gridspark.llm.langid import FLOOR, RATIO, held_out, language_id
+
+    rng = random.Random(12)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijklm", "cc": "ñöéabmno"}
+    word = lambda x: "".join(rng.choice(alphabets[x]) for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word(x) for _ in range(40)).capitalize() + ".", x) for i in range(240) for x in [("aa", "bb", "cc")[i % 3]]]
+    grams = lambda t: ["".join(p if p.isalpha() else " " for p in (" " + t.lower() + " ")[k - 1 : k + 2]) for k in range(1, len(t) + 1) if t[k - 1].isalpha()]
+    counts = {x: Counter() for x in alphabets}
+    for i, t, x in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[x].update(grams(t))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    sets = {x: {g for g, p in share[x].items() if p >= FLOOR and p >= RATIO * max(s.get(g, 0) for s in share.values())} for x in share}
+    df = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id(df, ["doc_id"]).select("doc.doc_id", held_out("doc.doc_id").alias("h"), "lang_pred", "score").collect()}
+    for i, t, x in rows:
+        hits = {y: sum(g in sets[y] for g in grams(t)) / len(grams(t)) for y in sets}
+        best = max(hits, key=hits.get)
+        assert got[i]["lang_pred"] == best == x and abs(got[i]["score"] - hits[best]) < 0.03
+    assert 20 < sum(r["h"] for r in got.values()) < 120
+
+
+def test_queries_return_what_they_promise(spark, rows, tmp_path):
+    """Every query on tables on disk, and the columns it derives, against plain Python."""
+    from gridspark.llm.mixing import targets
+    from gridspark.llm.queries import QUERIES
+
+    many = [r for r in rows if r[0] is not None][:70]
+    docs = documents(spark, many)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, [float(i % 7), 0.5, -1.0]) for i in range(60)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {name: f(spark, str(tmp_path)) for name, f in QUERIES.items()}
+    types = {name: dict(df.dtypes) for name, df in out.items()}
+    assert types["op1_exact_topk"] | {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"} == types["op1_exact_topk"]
+    long_ = lambda *names: dict.fromkeys(names, "bigint")
+    asked = {
+        "op3_gif_columns": long_("doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes") | dict.fromkeys(("payload_sha256", "media_sha256", "feature"), "string"),
+        "op4_minhash_neardup": long_("doc_id", "n_shingles", "component_id") | {"kept": "boolean"},
+        "op5_config_lp_packing": long_("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset") | {"piece": "int"},
+        "op6_bitmask_langid": long_("doc_id") | {"held_out": "boolean", "lang_pred": "string", "score": "double"},
+        "op7_run_index_dedup": long_("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated_words") | {"kept_sha256": "string"},
+        "op8_two_pass_shuffle": long_("doc_id", "size", "text_crc32", "slot") | {"law": "string", "shard": "int", "grown_shard": "int"},
+        "op9_source_mix": long_("doc_id", "size", "source_size", "taken") | {"target": "double"},
+    }
+    for name, want in asked.items():
+        assert types[name] | want == types[name], name
+    got = {name: {r["doc_id"]: r for r in out[name].collect()} for name in asked if name != "op5_config_lp_packing"}
+    raw = {i: (t or "").encode() for i, t in many}
+    for i, b in raw.items():
+        padded = b + b"\xff" * (-len(b) % 576 if b else 576)
+        m = got["op3_gif_columns"][i]
+        assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"], m["tail_crc32"]) == (len(b), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        assert got["op6_bitmask_langid"][i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert (got["op8_two_pass_shuffle"][i]["size"], got["op8_two_pass_shuffle"][i]["text_crc32"]) == (len(b) + 16, zlib.crc32(b))
+    size = {i: len(re.findall(rb"[^\x20\x09-\x0D]+", b)) for i, b in raw.items()}
+    source = {i: (None, "a", "b", "hot", "hot")[i % 5] for i in raw}
+    order = ["a", "b", "hot", None]
+    sums = [sum(size[i] for i in raw if source[i] == s) for s in order]
+    goal = dict(zip(order, targets(sums), strict=True))
+    for i, r in got["op9_source_mix"].items():
+        assert (r["size"], r["source_size"]) == (size[i], sums[order.index(source[i])]) and abs(r["target"] - goal[source[i]]) < 1e-6 and r["taken"] <= 2 * r["size"]
+    slots = defaultdict(list)
+    for r in got["op8_two_pass_shuffle"].values():
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert out["op10_importance_resampling"].count() == out["op2_licence_digest"].count() == len(many)
+    equal = defaultdict(set)  # equal texts, equal media
+    for i, b in raw.items():
+        equal[b].add((got["op3_gif_columns"][i]["media_sha256"], got["op3_gif_columns"][i]["feature"]))
+    assert all(len(x) == 1 for x in equal.values())
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
