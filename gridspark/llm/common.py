@@ -59,6 +59,16 @@ def discard(*dfs: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def settled(make, label: str) -> DataFrame:
+    """What make() returns, written and read back; the scratch tables that it used are deleted."""
+    before = {path for _, path in _made}
+    out = materialize(make(), label)
+    for spark, path in list(_made):
+        if path not in before and path != out._scratch:  # type: ignore[attr-defined]
+            _remove(spark, path)
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -17,7 +17,8 @@ out, however long.  Confirmed links are exact (sets are compared as 64-bit finge
 
 Defined cases: no words or null text: no shingles, linked with nothing.  Fewer words than a shingle: one shingle of all.
 A null id takes part in nothing: component null, kept true.  Repeated rows are returned as often as they come, with equal results.
-Extra columns are ignored; an empty table gives an empty result.
+Rows of one id are one document, whatever their texts: they share a component, while n_shingles is the row's own.  Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,17 +168,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = materialize(sketched(base, "doc_id", "text", size, k), "sketch")
     usable = s.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
+    own = usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
+    reps = materialize(own.dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "d1", "n", "sketch"), "reps")  # an id with several texts may stand for several classes
 
     # inverted lists over the rarest values of each sketch
-    lists = reps.select("rep", F.explode("sketch").alias("v"))
+    lists = reps.select("rep", "d1", F.explode("sketch").alias("v"))
     often = lists.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    mine = lists.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv")).join(reps.select("rep", "n", F.size("sketch").alias("z")), "rep")
+    mine = lists.join(often, "v").groupBy("rep", "d1").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("fv")).join(reps.select("rep", "d1", "n", F.size("sketch").alias("z")), ["rep", "d1"])
     room = F.col("z") - _needed(F.col("n"), k, m, percent) + 1 - (F.col("z") - F.size("fv"))
     ranked = materialize(mine.where(room > 0).select("rep", "n", F.explode(F.slice("fv", F.lit(1), room)).alias("x")).select("rep", "n", "x.v"), "ranked")
     held = ranked.groupBy("v").agg(F.count("*").alias("f")).where("f > 1").select("v")
     posts = materialize(ranked.join(held, "v"), "lists")
-    sets = materialize(full_sets(base.join(posts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    sets = materialize(full_sets(base.withColumn("th", F.xxhash64("text")).join(posts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "th"]), size), "sets")
     discard(ranked)
 
     # one partner for each class: the head that it meets in most lists
@@ -186,7 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = met.groupBy("rep").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.h")).alias("b"))
     first_pairs = materialize(best, "pairs")
     links = exact_links(first_pairs, sets, percent)
-    label = materialize(components(links), "label")
+    several = usable.groupBy("doc_id").agg(F.min("d1").alias("i"), F.max("d1").alias("j")).where("i <> j").select("doc_id")
+    same_id = usable.join(several, "doc_id").join(classes, ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    label = materialize(components(links.unionByName(same_id)), "label")
 
     # lists that hold several components: pairs across them
     tagged = posts.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -224,7 +228,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label.join(last, "component", "left").select("node", F.coalesce("top", "component").alias("c")).unionByName(last.select(F.col("component").alias("node"), F.col("top").alias("c"))).groupBy("node").agg(F.min("c").alias("c")), "final"
     )
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("c", "rep").alias("component"))
-    # a document id that repeats with other texts belongs to the least of its rows' components
     out = s.join(named, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     discard(reps, posts, first_pairs, links, label, mixed, rest, many, sets, pairs, few_links, many_links)

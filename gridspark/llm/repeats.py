@@ -40,7 +40,7 @@ from gridspark.llm.common import as_struct, discard, materialize, mix, prefix_ha
 
 #: Rules: (kind, length, gram), in units of the kind.
 BYTES, WORDS = ("bytes", 400, 128), ("words", 51, 20)
-BUCKET_BYTES, CROWD, PARTS, PLACE_BITS, PART_BYTES = 1_000_000, 1000, 5, 26, 1 << 23
+BUCKET_BYTES, TASK_BUCKETS, CROWD, PARTS, PLACE_BITS, PART_BYTES = 1_000_000, 4, 1000, 5, 26, 1 << 23
 #: No part of a key holds more than this share of the rows that a join spreads; so at most as many keys are broadcast.
 SPREAD = 1000
 SEPARATOR = 255
@@ -377,7 +377,8 @@ def repeated_starts(docs: DataFrame, rules: tuple, crowd: int = CROWD, bucket_by
         return pa.table([pa.array([r[i] for r in found], pa.int32() if not i else pa.int64()) for i in range(5)], ["k", "h1", "h2", "lo", "hi"])
 
     placed = cuts.withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
-    indexed = placed.groupBy("bucket").applyInArrow(search, "k int, h1 long, h2 long, lo long, hi long")
+    placed = placed.withColumn("task", F.expr(f"cast(bucket div {TASK_BUCKETS} as int)")).repartitionById(-(-buckets // TASK_BUCKETS), "task")  # a task's work stays the same at every size
+    indexed = placed.groupBy("task", "bucket").applyInArrow(search, "k int, h1 long, h2 long, lo long, hi long")
 
     known = told.where("known").select("k", "h1", "h2", "lo", "hi")
     whole = texts.where("copies > 1").select("h1", "h2")

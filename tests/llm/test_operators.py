@@ -239,6 +239,16 @@ def test_near_duplicates_edges(spark, empty):
     assert got == Counter({(1, 1, 1, True): 2, (None, 1, None, True): 1, (2, 1, 1, False): 1, (3, 0, 3, True): 1})
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    from gridspark.llm.neardup import near_duplicates
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " ko"), (8, b + " ko"), (9, c), (3, c + " ko"), (9, b), (20, prose(rng, 60)), (20, prose(rng, 60)), (21, None), (21, "x")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(documents(spark, rows)).collect())
+    assert got == Counter([(5, 3, False)] * 2 + [(7, 3, False), (8, 3, False), (3, 3, True)] + [(9, 3, False)] * 2 + [(20, 20, True)] * 2 + [(21, 21, True)] * 2)
+
+
 def test_components(spark):
     from gridspark.llm.components import components
 
