@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import as_struct, discard, materialize, table
+from gridspark.llm.common import as_struct, discard, settled, table
 from gridspark.llm.langid import UNKNOWN, language_id
 from gridspark.llm.mixing import remixed
 from gridspark.llm.neardup import near_duplicates
@@ -72,7 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, before, sf_dir), name)
+        docs = settled(lambda: stage(spark, before, sf_dir), name)  # noqa: B023
         discard(before)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
