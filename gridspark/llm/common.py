@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +122,6 @@ def parts_for(spark: SparkSession, least: int = 1) -> int:
 
 # ---- vectors over UTF-8 bytes -------------------------------------------------------------------
 
-_rng = np.random.default_rng(20240607)
-#: One random 64-bit value for each byte value, from a fixed seed.
-BYTE_VALUES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 RADIX_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
@@ -153,17 +151,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the fingerprint of bytes i..j times RADIX**i, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _power_table("r", RADIX, len(data)), out=out[1:])
-    return out
+class Prefix(NamedTuple):
+    """sums[i]: of the mixed 8-byte strings that begin before i, each times RADIX**its place; eight[i]: the 8 bytes from i, big-endian
+    (zeros behind the end)."""
+
+    sums: np.ndarray
+    eight: np.ndarray
+
+
+def prefix_hash(data: np.ndarray) -> Prefix:
+    """What span_hash needs of bytes."""
+    n = len(data)
+    eight = np.zeros(n + 8, np.uint64)
+    eight[:n] = data
+    for width in (1, 2, 4):  # of 2, 4 and 8 bytes
+        eight[: n + 8 - width] = (eight[: n + 8 - width] << np.uint64(8 * width)) | eight[width:]
+    eight = eight[: n + 1]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(eight[:n]) * _power_table("r", RADIX, n), out=sums[1:])
+    return Prefix(sums, eight)
+
+
+def span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the spans start..end, equal for equal bytes wherever they stand.
+
+    A polynomial over a span's 8-byte strings, each mixed first, so strings built to cancel byte by byte (Thue-Morse) don't;
+    spans of up to 8 bytes have no two of the same length with one fingerprint."""
+    size = end - start
+    long_ = size > 8
+    last = np.where(long_, end - 7, start)
+    raw = (prefix.sums[last] - prefix.sums[start]) * _power_table("i", RADIX_INV, len(prefix.sums))[start]
+    unused = (64 - 8 * np.clip(size, 1, 8)).astype(np.uint64)
+    short = (prefix.eight[start] >> unused) * (size > 0).astype(np.uint64)
+    return mix(np.where(long_, raw, short) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the spans start..end, equal for equal bytes wherever they stand."""
-    raw = (prefix[end] - prefix[start]) * _power_table("i", RADIX_INV, len(prefix))[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def first_bytes(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of the spans (all of a shorter one) as numbers."""
+    return prefix.eight[start] >> (64 - 8 * np.clip(end - start, 1, 8)).astype(np.uint64)
 
 
 _IS_WORD = np.ones(256, bool)

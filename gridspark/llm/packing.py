@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACES, ascii_lower, materialize, prefix_hash, running, slices, span_hash, text_buffer, word_bounds
+from gridspark.llm.common import SPACES, ascii_lower, first_bytes, materialize, prefix_hash, running, slices, span_hash, text_buffer, word_bounds
 
 CAPACITY, END_ID, TOKENIZER, ROUNDS, CACHE, SLAB_BYTES = 2048, 0, "word_bpe_49k.json", 800, 1_000_000, 1 << 20
 #: Of the covering program: accuracy aimed at, rows it has at most, and knapsacks solved at most (about).
@@ -86,7 +86,7 @@ class WordIds:
     The vocabulary folds A-Z itself and drops white space, so words split at ASCII white space and with A-Z lowered give
     the ids of the whole text; so do a word up to a last letter a-z and the punctuation behind it.  Parts of letters
     only are one pre-token each: many are encoded as one string and told apart by the end-of-word ids; any other part is encoded
-    alone.  What is known lies in vectors, ordered by one fingerprint of the part's bytes and checked by another, and stays
+    alone.  What is known lies in vectors, ordered by the fingerprint of the part's bytes and checked by its first 8, and stays
     between tasks; a worker starts anew beyond `most` parts."""
 
     def __init__(self, path: str, most: int = CACHE):
@@ -153,8 +153,7 @@ class WordIds:
         key = span_hash(prefix, start, stop)
         key, where, code = np.unique(key, return_index=True, return_inverse=True)
         a, b = start[where], stop[where]
-        other = prefix_hash(low ^ np.uint8(0x5A))
-        check = span_hash(other, a, b)
+        check = first_bytes(prefix, a, b)
         if len(self.key) + len(key) > self.most:
             self.forget()
         slot = np.searchsorted(self.key, key)

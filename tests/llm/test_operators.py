@@ -470,6 +470,30 @@ def test_spread_join(spark):
     assert spread_join(rows, spark.createDataFrame([], "m long, rows long"), "m", "row").count() == 0
 
 
+def test_fingerprints_tell_strings_apart():
+    from gridspark.llm.common import prefix_hash, span_hash
+
+    t, u = b"a", b"b"
+    for _ in range(12):
+        t, u = t + u, u + t  # Thue-Morse and its complement: equal in any polynomial of odd base modulo 2**64 over single bytes
+    for size in (1024, 2048, 4096):
+        text = np.frombuffer(t[:size] + u[:size], np.uint8)
+        a, b = span_hash(prefix_hash(text), np.array([0, size]), np.array([size, 2 * size]))
+        assert a != b
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 3000, dtype=np.uint8)
+    data[2000:2600] = data[100:700]
+    starts, sizes = rng.integers(0, 2900, 4000), rng.integers(0, 40, 4000)
+    starts, sizes = np.append(starts, starts + 0), np.append(sizes, sizes + 1)
+    ends = np.minimum(starts + sizes, 3000)
+    marks = defaultdict(set)
+    for s, e, h in zip(starts.tolist(), ends.tolist(), span_hash(prefix_hash(data), starts, ends).tolist(), strict=True):
+        marks[data[s:e].tobytes()].add(h)
+    assert all(len(x) == 1 for x in marks.values()) and len(set.union(*marks.values())) == len(marks)
+    long_ = span_hash(prefix_hash(data), np.array([2000, 100, 2000]), np.array([2600, 700, 2599]))
+    assert long_[0] == long_[1] != long_[2]
+
+
 def test_run_index():
     from gridspark.llm.repeats import RunIndex, suffix_array
 
