@@ -833,5 +833,5 @@ def test_texts_in_no_learnt_language_go(spark, tmp_path):
     import corpus_pipeline as P
 
     rng = random.Random(31)
-    docs = documents(spark, [(i, prose(rng, 60)) for i in range(90)] + [(200, "Съешь ещё этих мягких французских булок"), (201, "日本語の文章です。これは試験です。"), (202, "xjq zzv wpq fgh bbq yyx"), (203, None), (204, "12 34")])
+    docs = documents(spark, [(i, prose(rng, 60)) for i in range(90)] + [(200, "Съешь ещё этих мягких французских булок"), (203, "日本語の文章です。これは試験です。"), (206, "xjq zzv wpq fgh bbq yyx"), (209, None), (212, "12 34")])  # without labels
     assert {r["doc_id"] for r in P.keep_identified(spark, docs, str(tmp_path)).collect()} == set(range(90))
