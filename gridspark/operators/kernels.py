@@ -86,72 +86,106 @@ def _weight(kernel: str, t: np.ndarray) -> np.ndarray:
     return np.where(t < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
 
 
-def sample(src: np.ndarray, cols: np.ndarray, rows: np.ndarray, kernel: str, nodata: float | None = None, scale: tuple[float, float] = (1.0, 1.0), origin: tuple[int, int] = (0, 0), shape: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(values, valid) at fractional coordinates of the whole source, of which `src` holds the part from `origin` (row, col)."""
-    full = shape or src.shape
-    r0, c0 = origin
-    flat, (h, w) = src.astype(np.float64).ravel(), src.shape
-    x, y = np.asarray(cols, float).ravel(), np.asarray(rows, float).ravel()
-    rx, ry = reach(kernel, scale)
-    with np.errstate(invalid="ignore"):
-        inside = (x >= -rx) & (x <= full[1] + rx) & (y >= -ry) & (y <= full[0] + ry)
+class Taps:
+    """Where and with what weights pixels at fractional coordinates read the source: computed once for any number of bands.
+
+    Weights are products of one factor an axis.  Where all taps lie in the window and none is bad, values are plain sums; only
+    the other pixels count their taps one by one."""
+
+    def __init__(self, cols: np.ndarray, rows: np.ndarray, kernel: str, scale: tuple[float, float], origin: tuple[int, int], window: tuple[int, int], full: tuple[int, int]):
+        self.kernel, self.origin, self.window, self.full, self.shape = kernel, origin, window, full, np.shape(cols)
+        (r0, c0), (h, w) = origin, window
+        x, y = np.asarray(cols, float).ravel(), np.asarray(rows, float).ravel()
+        rx, ry = reach(kernel, scale) if kernel != "nearest" else (0.0, 0.0)
+        with np.errstate(invalid="ignore"):
+            inside = (x >= -rx) & (x <= full[1] + rx) & (y >= -ry) & (y <= full[0] + ry)
+        self.size, self.at = len(x), np.flatnonzero(inside)
+        x, y = x[self.at], y[self.at]
+        self.half = (max(scale[0] / 2, 0.5), max(scale[1] / 2, 0.5))
         if kernel == "nearest":
-            inside &= (x >= 0) & (x <= full[1]) & (y >= 0) & (y <= full[0])
-    out, ok = np.zeros(len(x)), np.zeros(len(x), bool)
-    at = np.flatnonzero(inside)
-    x, y = x[at], y[at]
-
-    def tap(i, j):  # row i, col j of the whole source
-        held = (i >= r0) & (i < r0 + h) & (j >= c0) & (j < c0 + w)
-        v = flat[np.where(held, (i - r0) * w + (j - c0), 0)]
-        good = held & ~np.isnan(v)
-        if nodata is not None and nodata == nodata:
-            good &= v != nodata
-        return v, good, held
-
-    if kernel == "nearest":
-        i, j = np.minimum(np.floor(y + 1e-10).astype(np.int64), full[0] - 1), np.minimum(np.floor(x + 1e-10).astype(np.int64), full[1] - 1)
-        v, _, held = tap(i, j)
-        fine = held & (v != nodata) if nodata is not None else held
-        out[at], ok[at] = np.where(fine, v, 0), fine
-        return out.reshape(np.shape(cols)), ok.reshape(np.shape(cols))
-    if kernel == "average":
-        hx, hy = max(scale[0] / 2, 0.5), max(scale[1] / 2, 0.5)
-        first_i, first_j, ni, nj = np.floor(y - hy).astype(np.int64), np.floor(x - hx).astype(np.int64), int(np.ceil(2 * hy)) + 1, int(np.ceil(2 * hx)) + 1
-    else:
-        k = int(RADIUS[kernel])
-        first_i, first_j, ni, nj = np.floor(y - 0.5).astype(np.int64) - k + 1, np.floor(x - 0.5).astype(np.int64) - k + 1, 2 * k, 2 * k
-    sums = np.zeros((6, len(at)))  # weights, weighted values, taps in range, good taps; bilinear weights and values
-    two = np.zeros((2, len(at)))
-    for di in range(ni):
-        i = first_i + di
-        wy = np.clip(np.minimum(i + 1, y + hy) - np.maximum(i, y - hy), 0, None) if kernel == "average" else _weight(kernel, y - 0.5 - i)
-        by = np.maximum(0, 1 - np.abs(y - 0.5 - i))
-        for dj in range(nj):
-            j = first_j + dj
-            wx = np.clip(np.minimum(j + 1, x + hx) - np.maximum(j, x - hx), 0, None) if kernel == "average" else _weight(kernel, x - 0.5 - j)
-            in_range = (i >= 0) & (i < full[0]) & (j >= 0) & (j < full[1])
-            v, good, _ = tap(i, j)
-            good &= in_range
-            v, weight = np.where(good, v, 0), np.where(good, wy * wx, 0)
-            sums[:4] += weight, weight * v, in_range, good
-            if kernel == "cubic" and di in (1, 2) and dj in (1, 2):
-                b = np.where(good, by * np.maximum(0, 1 - np.abs(x - 0.5 - j)), 0)
-                sums[4:] += b, b * v
-                two += in_range, good
-    with np.errstate(invalid="ignore", divide="ignore"):
-        if kernel == "bilinear":
-            fine = (sums[0] >= 1e-10) & ~((sums[2] == 4) & (sums[3] < 4))
-            v = sums[1] / sums[0]
-        elif kernel == "cubic":
-            whole = (sums[2] == 16) & (sums[3] == 16)
-            fine = whole | ((sums[4] >= 1e-10) & ~((two[0] == 4) & (two[1] < 4)))
-            v = np.where(whole, sums[1], sums[5] / sums[4])
+            self.i, self.j = (np.minimum(np.floor(v + 1e-10).astype(np.int64), n - 1) for v, n in ((y, full[0]), (x, full[1])))
+            self.ni = self.nj = 1
+        elif kernel == "average":
+            self.i, self.j = np.floor(y - self.half[1]).astype(np.int64), np.floor(x - self.half[0]).astype(np.int64)
+            self.ni, self.nj = int(np.ceil(2 * self.half[1])) + 1, int(np.ceil(2 * self.half[0])) + 1
         else:
-            fine = np.abs(sums[0]) >= (1e-15 if kernel == "average" else 1e-10)
-            v = sums[1] / sums[0]
-    out[at], ok[at] = np.where(fine, v, 0), fine
-    return out.reshape(np.shape(cols)), ok.reshape(np.shape(cols))
+            k = int(RADIUS[kernel])
+            self.i, self.j = np.floor(y - 0.5).astype(np.int64) - k + 1, np.floor(x - 0.5).astype(np.int64) - k + 1
+            self.ni = self.nj = 2 * k
+        self.wy, self.wx = self._factors(y, self.i, self.ni, self.half[1]), self._factors(x, self.j, self.nj, self.half[0])
+        self.x, self.y = x, y
+        whole = (self.i >= max(0, r0)) & (self.i + self.ni <= min(full[0], r0 + h)) & (self.j >= max(0, c0)) & (self.j + self.nj <= min(full[1], c0 + w))
+        self.inner, self.rim = np.flatnonzero(whole), np.flatnonzero(~whole)
+
+    def _factors(self, t: np.ndarray, first: np.ndarray, n: int, half: float) -> list[np.ndarray]:
+        if self.kernel == "nearest":
+            return [np.ones(len(t))]
+        if self.kernel == "average":
+            return [np.clip(np.minimum(first + k + 1, t + half) - np.maximum(first + k, t - half), 0, None) for k in range(n)]
+        return [_weight(self.kernel, t - 0.5 - (first + k)) for k in range(n)]
+
+    def values(self, src: np.ndarray, nodata: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(values, valid) of one band, of which src holds the window."""
+        flat = np.asarray(src, np.float64).ravel()
+        bad = np.isnan(flat) if self.kernel != "nearest" else np.zeros(len(flat), bool)
+        if nodata is not None and nodata == nodata:
+            bad |= flat == nodata
+        out, ok = np.zeros(self.size), np.zeros(self.size, bool)
+        spoiled = bad.any()
+        if not spoiled and len(self.inner):
+            out[self.at[self.inner]], ok[self.at[self.inner]] = self._plain(flat, self.inner), True
+        some = np.arange(len(self.at)) if spoiled else self.rim
+        if len(some):
+            v, fine = self._counted(flat, bad, some)
+            out[self.at[some]], ok[self.at[some]] = np.where(fine, v, 0), fine
+        return out.reshape(self.shape), ok.reshape(self.shape)
+
+    def _plain(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        (r0, c0), w = self.origin, self.window[1]
+        base = (self.i[at] - r0) * w + (self.j[at] - c0)
+        if self.kernel == "nearest":
+            return flat[base]
+        wx, total = [f[at] for f in self.wx], np.zeros(len(at))
+        for di, fy in enumerate(self.wy):
+            line = np.zeros(len(at))
+            for dj, fx in enumerate(wx):
+                line += fx * flat[base + (di * w + dj)]
+            total += fy[at] * line
+        return total if self.kernel == "cubic" else total / (sum(f[at] for f in self.wy) * sum(wx))
+
+    def _counted(self, flat: np.ndarray, bad: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (r0, c0), (h, w), full, kernel = self.origin, self.window, self.full, self.kernel
+        x, y, first_i, first_j = self.x[at], self.y[at], self.i[at], self.j[at]
+        sums = np.zeros((6, len(at)))  # weights, weighted values, taps in range, good taps; bilinear weights and values
+        two = np.zeros((2, len(at)))
+        for di in range(self.ni):
+            i = first_i + di
+            here_i, held_i, by = (i >= 0) & (i < full[0]), (i >= r0) & (i < r0 + h), np.maximum(0, 1 - np.abs(y - 0.5 - i))
+            for dj in range(self.nj):
+                j = first_j + dj
+                in_range, held = here_i & (j >= 0) & (j < full[1]), held_i & (j >= c0) & (j < c0 + w)
+                place = np.where(held, (i - r0) * w + (j - c0), 0)
+                good = held & in_range & ~bad[place]
+                v, weight = np.where(good, flat[place], 0), np.where(good, self.wy[di][at] * self.wx[dj][at], 0)
+                sums[:4] += weight, weight * v, in_range, good
+                if kernel == "cubic" and di in (1, 2) and dj in (1, 2):
+                    b = np.where(good, by * np.maximum(0, 1 - np.abs(x - 0.5 - j)), 0)
+                    sums[4:] += b, b * v
+                    two += in_range, good
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if kernel == "nearest":
+                return sums[1], sums[3] > 0
+            if kernel == "bilinear":
+                return sums[1] / sums[0], (sums[0] >= 1e-10) & ~((sums[2] == 4) & (sums[3] < 4))
+            if kernel == "cubic":
+                whole = (sums[2] == 16) & (sums[3] == 16)
+                return np.where(whole, sums[1], sums[5] / sums[4]), whole | ((sums[4] >= 1e-10) & ~((two[0] == 4) & (two[1] < 4)))
+            return sums[1] / sums[0], np.abs(sums[0]) >= (1e-15 if kernel == "average" else 1e-10)
+
+
+def sample(src: np.ndarray, cols: np.ndarray, rows: np.ndarray, kernel: str, nodata: float | None = None, scale: tuple[float, float] = (1.0, 1.0), origin: tuple[int, int] = (0, 0), shape: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(values, valid) at fractional coordinates of the whole source, of which `src` holds the part from `origin` (row, col)."""
+    return Taps(cols, rows, kernel, scale, origin, src.shape, shape or src.shape).values(src, nodata)
 
 
 def typed(values: np.ndarray, valid: np.ndarray, dtype: str, fill: float, rounding: str = "round") -> np.ndarray:

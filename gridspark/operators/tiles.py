@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.kernels import DTYPES, checked_dtype, fill_value, kernel_name, sample, scales, typed, usable_nodata
+from gridspark.operators.kernels import DTYPES, Taps, checked_dtype, fill_value, kernel_name, scales, typed, usable_nodata
 from gridspark.operators.warp import keyed_cells
 from gridspark.plans.grid import Grid
 from gridspark.plans.planner import plan_frame, plan_reproject, plan_table, source_coords
@@ -96,6 +96,7 @@ def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "b
             bands.setdefault(key, []).append(i)
         place, raw = [t.column(c).to_pylist() for c in ("r0", "c0", "h", "w")], t.column("data")
         first, out = [], []
+        taps = Taps(x, y, kernel, scale, (s0, q0), (s1 - s0, q1 - q0), src.shape)
         for of in bands.values():
             values = np.full((s1 - s0, q1 - q0), np.nan)  # what the store doesn't have stays NaN
             for i in of:
@@ -104,7 +105,7 @@ def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "b
                 i0, i1, j0, j1 = max(a, s0), min(a + bh, s1), max(b, q0), min(b + bw, q1)
                 if i1 > i0 and j1 > j0:
                     values[i0 - s0 : i1 - s0, j0 - q0 : j1 - q0] = block[i0 - a : i1 - a, j0 - b : j1 - b]
-            v, ok = sample(values, x, y, kernel, nd, scale, (s0, q0), src.shape)
+            v, ok = taps.values(values, nd)
             first.append(of[0])
             out.append(typed(v, ok, dtype, fill, rounding).tobytes())
         same = {c: pa.array([v] * len(out), pa.int32()) for c, v in zip(("tile_row", "tile_col", "r0", "c0", "h", "w"), (d_row, d_col, r0, c0, h, w), strict=True)}

@@ -63,7 +63,7 @@ class RasterFrame:
         nodata replaces the raster's own.  error_threshold: coordinates by linear pieces along rows, as near as so many source
         pixels; exact without.  max_task_bytes: source bytes that one task may hold, bands together."""
         dst = Grid.of(other)
-        attrs = {k: v for k, v in self.attrs.items() if k not in ("crs", "transform", "spatial_ref")} | {"spatial_ref": spatial_ref(dst)}
+        attrs = {k: v for k, v in self.attrs.items() if k not in ("crs", "transform", "spatial_ref", "spatial_ref_attrs")} | {"spatial_ref": dst.crs, "spatial_ref_attrs": spatial_ref(dst)}
         if nodata is not None:
             self = replace(self, nodata=nodata)
         if path == "sql" and error_threshold is not None:
@@ -121,9 +121,9 @@ class RasterSet:
         out = []
         for g in self.groups:
             warped = replace(g, attrs={}).reproject_match(dst, resampling, **options)
-            kept = {n: {k: v for k, v in a.items() if k not in ("crs", "transform", "spatial_ref")} | {"spatial_ref": spatial_ref(dst)} for n, a in g.attrs.items()}
+            kept = {n: {k: v for k, v in a.items() if k not in ("crs", "transform", "spatial_ref", "spatial_ref_attrs")} | {"spatial_ref": dst.crs, "spatial_ref_attrs": spatial_ref(dst)} for n, a in g.attrs.items()}
             out.append(replace(warped, attrs=kept))
-        attrs = {k: v for k, v in self.attrs.items() if k not in ("crs", "transform", "spatial_ref")} | {"spatial_ref": spatial_ref(dst)}
+        attrs = {k: v for k, v in self.attrs.items() if k not in ("crs", "transform", "spatial_ref", "spatial_ref_attrs")} | {"spatial_ref": dst.crs, "spatial_ref_attrs": spatial_ref(dst)}
         return replace(self, groups=tuple(out), attrs=attrs)
 
     def reproject(self, crs: str, resolution=None, shape=None, resampling: str = "bilinear", **options) -> RasterSet:

@@ -236,7 +236,7 @@ def test_raster_set(spark):
     for options in ({}, {"path": "tile", "dst_chunks": (8, 8)}):
         out = rs.reproject_match(box, "bilinear", **options)
         assert out.grid == dst and out.others["times"] is times and out.attrs["title"] == "x" and "transform" not in out.attrs
-        assert out["a"].attrs["unit"] == "m" and out["a"].attrs["spatial_ref"]["epsg"] == 4326 and "crs" not in out["a"].attrs
+        assert out["a"].attrs["unit"] == "m" and out["a"].attrs["spatial_ref_attrs"]["epsg"] == 4326 and "crs" not in out["a"].attrs
         for n in "abc":
             alone = rs[n].reproject_match(dst, "bilinear", **options).to_pixels().df
             values = lambda df: sorted((r["row"], r["col"], str(round(float(r["v"]), 6))) for r in df.collect())
