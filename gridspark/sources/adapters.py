@@ -54,12 +54,13 @@ def tiles_to_pixels(tiles: DataFrame, dtype: str, keys: tuple[str, ...] = ()) ->
 
     def unpack(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                at = {k: batch.column(k)[i].as_py() for k in ("r0", "c0", "h", "w", "data")}
-                v = np.frombuffer(at["data"], kind)
-                r, c = np.divmod(np.arange(len(v)), at["w"])
-                cols = [pa.array([batch.column(k)[i].as_py()] * len(v), batch.column(k).type) for k in keys]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array((r + at["r0"]).astype(np.int32)), pa.array((c + at["c0"]).astype(np.int32)), pa.array(v).cast(arrow)], [*keys, "row", "col", "v"])
+            r0, c0, w = (batch.column(k).to_numpy() for k in ("r0", "c0", "w"))
+            data = batch.column("data")
+            for i in range(batch.num_rows):  # one tile at a time bounds what a batch makes
+                v = np.frombuffer(data[i].as_buffer(), kind)
+                r, c = np.divmod(np.arange(len(v), dtype=np.int32), w[i])
+                cols = [pa.repeat(batch.column(k)[i], len(v)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array((r + r0[i]).astype(np.int32)), pa.array((c + c0[i]).astype(np.int32)), pa.array(v).cast(arrow)], [*keys, "row", "col", "v"])
 
     return tiles.select(*keys, "r0", "c0", "h", "w", "data").mapInArrow(unpack, schema_of(tiles, keys) + f"row int, col int, v {sql}")
 
