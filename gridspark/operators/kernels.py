@@ -119,7 +119,7 @@ class Taps:
 
     def _factors(self, t: np.ndarray, first: np.ndarray, n: int, half: float) -> list[np.ndarray]:
         if self.kernel == "nearest":
-            return [np.ones(len(t))]
+            return [np.broadcast_to(1.0, len(t))]
         if self.kernel == "average":
             return [np.clip(np.minimum(first + k + 1, t + half) - np.maximum(first + k, t - half), 0, None) for k in range(n)]
         return [_weight(self.kernel, t - 0.5 - (first + k)) for k in range(n)]

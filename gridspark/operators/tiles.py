@@ -36,12 +36,17 @@ def scanline_coords(src: Grid, dst: Grid, r0: int, c0: int, h: int, w: int, thre
             split = (error > threshold) & (b - a > 1) & (depth < 20)
         done = np.flatnonzero(~split)
         size = b[done] - a[done] + 1
-        piece = np.repeat(np.arange(len(done)), size)
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        part = step / np.maximum(size[piece] - 1, 1)
+        whole = depth == 0  # pieces are rows
+        if not whole:
+            piece = np.repeat(np.arange(len(done)), size)
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            part = step / np.maximum(size[piece] - 1, 1)
         for out, v in ((cols, x), (rows, y)):
-            p, q = v[0][done][piece], v[2][done][piece]
-            out[line[done][piece], a[done][piece] + step] = p + part * (q - p)
+            p, q = v[0][done], v[2][done]
+            if whole:
+                out[done] = p[:, None] + np.linspace(0, 1, w) * (q - p)[:, None]
+            else:
+                out[line[done][piece], a[done][piece] + step] = p[piece] + part * (q - p)[piece]
             for i, at in enumerate((a, m, b)):
                 out[line[done], at[done]] = v[i][done]
         at = np.flatnonzero(split)
