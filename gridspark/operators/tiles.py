@@ -19,6 +19,8 @@ from gridspark.sources.adapters import schema_of
 
 #: Destination tiles up to which the driver makes the plan; beyond it tasks do.
 DRIVER_PLAN = 4096
+#: Rows (pairs of a destination tile and a source tile) up to which a plan is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def scanline_coords(src: Grid, dst: Grid, r0: int, c0: int, h: int, w: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,8 @@ def reproject_tiles(tiles: DataFrame, src: Grid, dst: Grid, resampling: str = "b
     held_by = plan.where("has_data").selectExpr(*place, "src_r0 as s_r0", "src_r1 as s_r1", "src_c0 as s_c0", "src_c1 as s_c1")
     blocks = lambda lo, hi, n: F.explode(F.expr(f"transform(sequence({lo} div {n}, ({hi} - 1) div {n}), x -> cast(x as int))"))
     wanted = held_by.withColumn("tile_row", blocks("s_r0", "s_r1", tile[0])).withColumn("tile_col", blocks("s_c0", "s_c1", tile[1]))
+    if few and sum(((p["src_r1"] - 1) // tile[0] - p["src_r0"] // tile[0] + 1) * ((p["src_c1"] - 1) // tile[1] - p["src_c0"] // tile[1] + 1) for p in held) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # its rows are counted; tiles then shuffle once, to their destination
     schema = schema_of(tiles, keys) + "tile_row int, tile_col int, r0 int, c0 int, h int, w int, data binary"
 
     def warp(t: pa.Table) -> pa.Table:
