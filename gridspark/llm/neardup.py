@@ -10,6 +10,9 @@
    (shared values among the k least of both sketches) filters these, and the exact Jaccard of full sets decides.
    Pairs inside a component are never made, nor all pairs of a list: short lists are joined, long ones compared tile by
    tile with the full sets at hand, in bounded memory, and a tile gives out a spanning forest of its links only.
+   Long lists of one head hold much the same members, so their union is one block and a pair is compared once for all of
+   them.  A component of more than a tile has tiles of its own in a block, which never meet each other: the rows made for it
+   grow as its members, and with the square only of those that no component so large has taken up.
 
 For sets of up to k values candidates are complete.  For larger ones a link of similarity 0.75 exactly shares fewer than m
 retained values with probability below 1e-7, and less the more similar the two are.  No list and no member of one is left
@@ -162,6 +165,40 @@ def tile_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, vals: list[n
     return out
 
 
+def _tiles(f, n, tile: int):
+    """Tiles for f members whose sets hold n values."""
+    return F.greatest(F.ceil(f / tile), F.ceil(n / TILE_VALUES)).cast("int")
+
+
+def blocks(lists: DataFrame, tile: int = TILE) -> DataFrame:
+    """lists (v, rep, n, comp) -> (b, rep, comp, n): members of the union of all lists of one head, or of a list alone where tiles of
+    the union would hold more rows than tiles of its lists."""
+    rows = (F.col("f") * _tiles(F.col("f"), F.col("n"), tile)).alias("rows")
+    each = lists.groupBy("v").agg(F.min("rep").alias("head"), F.count("*").alias("f"), F.sum("n").alias("n")).select("v", "head", rows)
+    apart = each.groupBy("head").agg(F.min("v").alias("b"), F.sum("rows").alias("apart"))
+    union = lists.join(each.select("v", "head"), "v").groupBy("head", "rep").agg(F.max("n").alias("n"))
+    once = union.groupBy("head").agg(F.count("*").alias("f"), F.sum("n").alias("n")).select("head", rows)
+    merged = apart.join(once, "head").where("rows <= apart").select("head", "b")
+    named = each.join(merged, "head", "left").select("v", F.coalesce("b", "v").alias("b"))
+    return lists.join(named, "v").groupBy("b", "rep", "comp").agg(F.max("n").alias("n"))
+
+
+def tiled(members: DataFrame, tile: int = TILE) -> DataFrame:
+    """members (b, rep, comp, n) -> (b, i, j, rep, comp, side): each with every tile of its block that can hold another component.
+
+    Members of a component that fills more than one tile are dealt among tiles of their own, all others of a block among common ones."""
+    comps = members.groupBy("b", "comp").agg(F.count("*").alias("f"), F.sum("n").alias("n")).withColumn("own", _tiles(F.col("f"), F.col("n"), tile) > 1)
+    comps = comps.withColumn("g", F.when(F.col("own"), F.col("comp")).otherwise(0))
+    groups = comps.groupBy("b", "own", "g").agg(_tiles(F.sum("f"), F.sum("n"), tile).alias("tiles"))
+    met = groups.groupBy("b").agg(F.collect_list(F.struct("own", "g", "tiles")).alias("groups"))
+    dealt = members.join(comps.select("b", "comp", "own", "g"), ["b", "comp"]).join(groups, ["b", "own", "g"]).join(met, "b")
+    others = F.filter("groups", lambda x: ~(x["own"] & F.col("own") & (x["g"] == F.col("g"))))
+    all_ = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda t: F.struct(x["own"].alias("own"), x["g"].alias("g"), t.alias("t")))))
+    at = F.struct("own", "g", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int").alias("t"))
+    out = dealt.select("b", "rep", "comp", at.alias("at"), F.explode(all_).alias("o"))
+    return out.select("b", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep", "comp", F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, k: int = SKETCH, m: int = LEAST_SHARED, percent: int = PERCENT, short: int = SHORT_LIST, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -206,9 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = near.join(sk("a"), "a").join(sk("b"), "b").where(shared >= F.greatest(_needed(F.col("na"), k, m, percent), _needed(F.col("nb"), k, m, percent))).select("a", "b")
 
     many = materialize(rest.where(F.col("f") > short).select("rep", "n", "comp", "v"), "long")
-    sizes = many.groupBy("v").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_VALUES)).cast("int").alias("tiles"))
-    at = many.join(sizes, "v").withColumn("t", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    at = at.select("v", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep", "comp", F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"))
+    members = materialize(blocks(many, tile), "blocks")
 
     def compare(t: pa.Table) -> pa.Table:
         vals = t.column("vals").combine_chunks()
@@ -217,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = tile_links(ids, comp, side, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], k, m, percent)
         return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate("ab")})
 
-    far = at.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
+    far = tiled(members, tile).join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("b", "i", "j").applyInArrow(compare, "a long, b long")
     pairs = materialize(near, "pairs")
     few_links, many_links = exact_links(pairs, sets, percent), materialize(far.distinct(), "far")
     more = few_links.unionByName(many_links)
@@ -230,5 +265,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("c", "rep").alias("component"))
     out = s.join(named, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    discard(reps, posts, first_pairs, links, label, mixed, rest, many, sets, pairs, few_links, many_links)
+    discard(reps, posts, first_pairs, links, label, mixed, rest, many, members, sets, pairs, few_links, many_links)
     return out

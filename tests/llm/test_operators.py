@@ -231,6 +231,31 @@ def test_near_duplicates(docs, rows, short, tile):
     assert got == linked(rows)
 
 
+def test_tiles_of_a_large_group_grow_as_its_members(spark):
+    from gridspark.llm.neardup import blocks, tiled
+
+    def lists(n):  # 12 lists of a large component and 30 that it has not taken up, 5 small ones apart from these
+        rng = random.Random(n)
+        out = [(v, rep, 5, -1 if rep < n else rep) for v in range(12) for rep in range(n + 30) if rep in (0, n) or rng.random() < 0.9]
+        return out + [(20 + v, 9000 + 100 * v + i, 5, 9000 + i % 3) for v in range(5) for i in range(20)]
+
+    made = []
+    for n in (400, 800):
+        data = lists(n)
+        rows = tiled(blocks(spark.createDataFrame(data, "v long, rep long, n long, comp long"), 40), 40).collect()
+        made.append(len(rows))
+        comp, met, of = {rep: c for _, rep, _, c in data}, Counter(), defaultdict(list)
+        for r in rows:
+            of[r["b"], r["i"], r["j"]].append((r["rep"], r["side"]))
+        for x in of.values():
+            met.update({(min(a, b), max(a, b)) for a, p in x for b, q in x if a != b and comp[a] != comp[b] and (p != q or p == 2)})
+        share = defaultdict(set)
+        for v, rep, _, _ in data:
+            share[v].add(rep)
+        assert {(a, b) for x in share.values() for a in x for b in x if a < b and comp[a] != comp[b]} == set(met) and set(met.values()) == {1}
+    assert made[1] <= 2.2 * made[0] and made[1] < 5000  # tiles of each list as it stands: 12 * 830 * 0.9 members, each in 19 tiles
+
+
 def test_near_duplicates_edges(spark, empty):
     from gridspark.llm.neardup import near_duplicates
 
