@@ -7,7 +7,8 @@ The index.  A bucket's windows, parted by a byte that UTF-8 never uses, get a su
 transform is kept as runs with the suffix positions at both ends of each run.  These samples alone stream the
 matching statistics of the windows against all others: at a run's first suffix the longest common prefix with the suffix
 before it is measured, and from there on it shrinks by one per byte until the next sample (the same from run ends to the
-suffix after).  In repetitive windows there are few runs.  Starts whose statistic reaches their `length` units are marked.
+suffix after).  In repetitive windows there are few runs.  Starts whose statistic reaches their `length` units are marked; samples
+whose prefix is shorter than the shortest such string mark none and are left out by one comparison.
 
 Which windows meet.  Every start of a `length`-unit string names the leftmost least fingerprint of the `gram`-unit strings
 inside it, so equal strings name equal fingerprints (winnowing); starts that follow each other and name the same place form
@@ -36,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import as_struct, discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer, with_field, word_bounds
+from gridspark.llm.common import Prefix, as_struct, discard, materialize, mix, prefix_hash, slices, span_hash, text_buffer, with_field, word_bounds
 
 #: Rules: (kind, length, gram), in units of the kind.
 BYTES, WORDS = ("bytes", 400, 128), ("words", 51, 20)
 BUCKET_BYTES, TASK_BUCKETS, CROWD, PARTS, PLACE_BITS, PART_BYTES = 1_000_000, 4, 1000, 5, 26, 1 << 23
+#: Rows are surveyed so many bytes at a time: vectors of 8 bytes for each stay in a core's cache.
+SLICE_BYTES = 1 << 16
 #: No part of a key holds more than this share of the rows that a join spreads; so at most as many keys are broadcast.
 SPREAD = 1000
 SEPARATOR = 255
@@ -53,35 +56,39 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array by prefix tripling from 7-byte keys; each round sorts what is still tied only."""
     n = len(t)
     symbols = np.zeros(n + 6, np.uint64)
-    symbols[:n] = t.astype(np.uint64) + np.uint64(1)  # 0 stands past the end
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key = (key << np.uint64(9)) | symbols[i : i + n]
+    symbols[:n] = t
+    symbols[:n] += np.uint64(1)  # 0 stands past the end
+    key = symbols[:n].copy()
+    for i in range(1, 7):
+        key <<= np.uint64(9)
+        key |= symbols[i : i + n]
     sa = np.argsort(key)
-    ordered = key[sa]
-    head = np.ones(n, bool)
-    head[1:] = ordered[1:] != ordered[:-1]
-    rank = np.zeros(n + 1, np.uint64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0)).astype(np.uint64)
+    key = key[sa]
+    rank = np.zeros(n + 1, np.uint32)
+    at, who = np.arange(n), sa  # places that are tied, and the suffixes there
     k, parts = 7, 3 if n < (1 << 21) - 1 else 2  # as many ranks as fit 63 bits
     shift = np.uint64(63 // parts)
-    while not head.all():
-        tied = ~head
-        tied[:-1] |= ~head[1:]
-        at = np.flatnonzero(tied)
-        who = sa[at]
-        key = rank[who]
+    while True:
+        head = np.ones(len(at) + 1, bool)
+        head[1:-1] = key[1:] != key[:-1]
+        tie = at.astype(np.uint32)
+        tie += np.uint32(1)
+        tie *= head[:-1]
+        np.maximum.accumulate(tie, out=tie)
+        rank[who] = tie
+        tied = np.flatnonzero(~(head[:-1] & head[1:]))
+        if not len(tied):
+            return sa
+        at, who, key = at[tied], who[tied], tie[tied].astype(np.uint64)
         for j in range(1, parts):
-            key = (key << shift) | rank[np.minimum(who + j * k, n)]
+            place = who + j * k
+            np.minimum(place, n, out=place)
+            key <<= shift
+            key |= rank[place]
         order = np.argsort(key)
         who, key = who[order], key[order]
         sa[at] = who
-        new = np.ones(len(at), bool)
-        new[1:] = key[1:] != key[:-1]
-        head[at] = new
-        rank[who] = np.maximum.accumulate(np.where(new, at + 1, 0)).astype(np.uint64)
         k *= parts
-    return sa
 
 
 class RunIndex:
@@ -90,16 +97,18 @@ class RunIndex:
     def __init__(self, t: np.ndarray):
         self.t, sa = t, suffix_array(t)
         bwt = t[sa - 1]  # the suffix at 0 takes the last byte, as on a circle
-        edge = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
-        origin = int(np.flatnonzero(sa == 0)[0]) if len(t) else 0
-        edge = np.union1d(edge, [x for x in (origin, origin + 1) if 0 < x < len(t)]).astype(np.int64)
-        self.symbols = bwt[np.concatenate([[0], edge])] if len(t) else bwt
+        head = np.ones(len(t) + 1, bool)
+        head[1:-1] = bwt[1:] != bwt[:-1]
+        if len(t):
+            origin = int(np.argmin(sa))
+            head[origin : origin + 2] = True
+        self.symbols = bwt[head[:-1]]
+        edge = np.flatnonzero(head[1:-1]) + 1
         self.heads, self.before = sa[edge], sa[edge - 1]  # head of each run but the first, and the end of the run before
 
-    def _common(self, i: np.ndarray, j: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of suffix pairs, by binary search over fingerprints."""
-        n = len(self.t)
-        lo, hi = np.zeros(len(i), np.int64), n - np.maximum(i, j)
+    def _common(self, i: np.ndarray, j: np.ndarray, prefix: Prefix, least: int) -> np.ndarray:
+        """Longest common prefixes, of `least` at the least, of suffix pairs, by binary search over fingerprints."""
+        lo, hi = np.full(len(i), least), len(self.t) - np.maximum(i, j)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -110,16 +119,24 @@ class RunIndex:
             lo[open_] = np.where(same, mid, lo[open_])
             hi[open_] = np.where(same, hi[open_], mid - 1)
 
-    def statistics(self) -> np.ndarray:
-        """For every position the longest string starting there that also starts at another position."""
+    def statistics(self, least: int = 1) -> np.ndarray:
+        """For every position the longest string starting there that also starts at another position, 0 if it is shorter than `least`.
+
+        From a sample on a statistic only shrinks, so samples below `least` need no measure: one comparison leaves them out."""
         n = len(self.t)
         prefix = prefix_hash(self.t)
-        common = self._common(self.heads, self.before, prefix)
-        out = np.zeros(n, np.int64)
-        for samples in (self.heads, self.before):
-            reach = np.zeros(n, np.int64)
-            np.maximum.at(reach, samples, samples + common)
-            out = np.maximum(out, np.maximum.accumulate(reach) - np.arange(n))
+        i, j = self.heads, self.before
+        for size in (min(least, 8), least):  # most pairs part within a word
+            fits = np.flatnonzero(np.maximum(i, j) + size <= n)
+            i, j = i[fits], j[fits]
+            same = span_hash(prefix, i, i + size) == span_hash(prefix, j, j + size)
+            i, j = i[same], j[same]
+        common = self._common(i, j, prefix, least)
+        reach = np.zeros(n, np.int64)
+        reach[i] = i + common
+        reach[j] = np.maximum(reach[j], j + common)
+        out = np.maximum.accumulate(reach) - np.arange(n)
+        out[out < least] = 0
         return out
 
 
@@ -146,12 +163,16 @@ def repeats_in(windows: list[tuple], kind: str, length: int) -> list[tuple]:
             text, last_lo, last_end, last_at, last_bounds = (h1, h2), lo, hi + length, at, bounds
     if len(spans) < 2:
         return []
-    common = RunIndex(np.frombuffer(b"".join(parts), np.uint8)).statistics()
+    spans = [s for s in spans if not s[-1]]
+    needs = [bounds[length : length + hi - lo + 1] - bounds[: hi - lo + 1] + len(lead) for bounds, _, _, lo, hi, _ in spans]
+    if not spans:
+        return []
+    common = RunIndex(np.frombuffer(b"".join(parts), np.uint8)).statistics(min(int(x.min()) for x in needs))
     out = []
-    for bounds, h1, h2, lo, hi, known in spans:
-        if not known:
-            starts = bounds[: hi - lo + 1]
-            edge = np.diff(np.concatenate([[0], (common[starts - len(lead)] >= bounds[length : length + len(starts)] - starts + len(lead)).astype(np.int8), [0]]))
+    for (bounds, h1, h2, lo, hi, _), need in zip(spans, needs, strict=True):
+        repeated = common[bounds[: len(need)] - len(lead)] >= need
+        if repeated.any():
+            edge = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
             out += [(h1, h2, lo + a, lo + b - 1) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
     return out
 
@@ -236,6 +257,16 @@ def survey_windows(data: np.ndarray, ends: np.ndarray, rules: tuple):
     return [c[order] for c in cols], counts
 
 
+def survey_slices(data: np.ndarray, ends: np.ndarray, rules: tuple):
+    """The same as survey_windows, from SLICE_BYTES of rows at a time."""
+    found, counts = [], []
+    for a, b in slices(ends, SLICE_BYTES):
+        (row, *cols), n = survey_windows(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], rules)
+        found.append((row + a, *cols))
+        counts.append(n)
+    return [np.concatenate(x) for x in zip(*found, strict=True)], [np.concatenate(x) for x in zip(*counts, strict=True)]
+
+
 def _digest(raw: bytes) -> tuple[int, int]:
     d = hashlib.md5(raw, usedforsecurity=False).digest()
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
@@ -255,7 +286,7 @@ def surveyed(docs: DataFrame, rules: tuple) -> DataFrame:
             data, offsets = text_buffer(batch.column(1))
             for a, b in slices(offsets, 1 << 19):
                 part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                (row, *cols), counts = survey_windows(part, ends, rules)
+                (row, *cols), counts = survey_slices(part, ends, rules)
                 first = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 h1, h2, sha = [], [], []
                 for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

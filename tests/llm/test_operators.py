@@ -531,6 +531,49 @@ def test_run_index():
     assert len(RunIndex(np.frombuffer(b"abcdefgh" * 200, np.uint8)).symbols) < 40  # few runs where text repeats
 
 
+def test_statistics_of_a_least_size():
+    from gridspark.llm.repeats import RunIndex
+
+    rng = np.random.default_rng(8)
+    for t in (b"banana" * 5, b"a" * 50, bytes(rng.integers(0, 3, 300, dtype=np.uint8)), b"x", b"", b"ab" * 40 + b"\xff" + b"ab" * 40, bytes(rng.integers(0, 2, 90, dtype=np.uint8)) * 3):
+        index = RunIndex(np.frombuffer(t, np.uint8))
+        whole = index.statistics()
+        for least in (2, 5, 8, 9, 40, len(t) + 1):
+            assert index.statistics(least).tolist() == np.where(whole >= least, whole, 0).tolist()
+
+
+def test_index_measures_only_what_can_mark(monkeypatch):
+    from gridspark.llm import repeats as R
+
+    rng = random.Random(6)
+    shared = prose(rng, 300)[:450]
+    texts = [(prose(rng, 200)[:300] + (shared if i % 4 == 0 else "") + prose(rng, 300)[:500]).encode() for i in range(40)]
+    done, real = [], R.span_hash
+    monkeypatch.setattr(R, "span_hash", lambda prefix, a, b: done.append(len(a)) or real(prefix, a, b))
+    got = R.repeats_in([(i, 0, 0, len(t) - 400, t, i == 4) for i, t in enumerate(texts)], "bytes", 400)
+    seen = Counter(t[j : j + 400] for t in texts for j in range(len(t) - 399))
+    want = {(i, j) for i, t in enumerate(texts) if i != 4 for j in range(len(t) - 399) if seen[t[j : j + 400]] > 1}
+    assert want and {(i, j) for i, _, lo, hi in got for j in range(lo, hi + 1)} == want
+    assert sum(done) < 4 * sum(map(len, texts))  # a full binary search takes over ten times the bytes
+    assert R.repeats_in([(i, 0, 0, 50, texts[0][:450], True) for i in range(3)], "bytes", 400) == []
+
+
+def test_survey_works_on_slices(monkeypatch):
+    from gridspark.llm import repeats as R
+
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randrange(0, 400)).encode() for _ in range(60)] + [b"", prose(rng, 3000).encode(), b""]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    rules = (("bytes", 100, 32), ("words", 12, 5))
+    whole, counts = R.survey_windows(data, ends, rules)
+    monkeypatch.setattr(R, "SLICE_BYTES", 5000)
+    sizes, real = [], R.windows_of
+    monkeypatch.setattr(R, "windows_of", lambda text, *more: sizes.append(len(text)) or real(text, *more))
+    cols, n = R.survey_slices(data, ends, rules)
+    assert [c.tolist() for c in cols] == [c.tolist() for c in whole] and [c.tolist() for c in n] == [c.tolist() for c in counts]
+    assert sorted(sizes)[-3] <= 5000 < sorted(sizes)[-2]  # only the long text, once for each rule, is larger
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 
 
