@@ -39,6 +39,7 @@ def texts(con):
         "warp_bilinear_3857_to_4326",
         "dataset_two_types",
         "mosaic_two_zones",
+        "tile_average_down4_chunked",
     ],
 )
 def test_query(spark, con, texts, name):
