@@ -42,6 +42,7 @@ def texts(con):
         "tile_average_down4_chunked",
         "tile_average_utm33_to_4326",
         "tile_bilinear_utm33_to_4326",
+        "tile_cubic_utm33_to_4326",
     ],
 )
 def test_query(spark, con, texts, name):
