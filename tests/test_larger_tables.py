@@ -44,6 +44,7 @@ def texts(con):
         "tile_bilinear_utm33_to_4326",
         "tile_cubic_utm33_to_4326",
         "tile_lanczos_utm33_to_4326",
+        "tile_nearest_utm33_to_4326",
     ],
 )
 def test_query(spark, con, texts, name):
