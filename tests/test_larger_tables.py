@@ -46,6 +46,7 @@ def texts(con):
         "tile_lanczos_utm33_to_4326",
         "tile_nearest_utm33_to_4326",
         "warp_average_down2",
+        "warp_average_down4",
     ],
 )
 def test_query(spark, con, texts, name):
