@@ -47,6 +47,7 @@ def texts(con):
         "tile_nearest_utm33_to_4326",
         "warp_average_down2",
         "warp_average_down4",
+        "warp_average_frac",
     ],
 )
 def test_query(spark, con, texts, name):
