@@ -48,6 +48,7 @@ def texts(con):
         "warp_average_down2",
         "warp_average_down4",
         "warp_average_frac",
+        "warp_average_utm33_to_4326",
     ],
 )
 def test_query(spark, con, texts, name):
