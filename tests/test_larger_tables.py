@@ -49,6 +49,7 @@ def texts(con):
         "warp_average_down4",
         "warp_average_frac",
         "warp_average_utm33_to_4326",
+        "warp_bilinear_same_crs_shift",
     ],
 )
 def test_query(spark, con, texts, name):
