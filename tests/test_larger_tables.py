@@ -11,7 +11,7 @@ from gridspark import catalog
 
 DATA = "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-#: Rows where a sum within an ulp of a tie may round the other way, as the order of its terms is free.
+#: Rows at most where a sum within its error of a tie may round the other way, as the order of its terms is free.
 TIES = {"tile_average_utm33_to_4326": 3, "tile_lanczos_utm33_to_4326": 3}
 
 
